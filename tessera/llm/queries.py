@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import simhash
+from tessera.llm import decontaminate, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +19,37 @@ def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16().alias("fingerprint"), "component_id")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, spans = secrets.with_spans(docs)
+    base = secrets.of_kinds(F.col(spans), [r.kind for r in secrets.BASE_RULES])
+    count = lambda kind: F.size(secrets.of_kinds(F.col(spans), [kind])).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[count(r.kind) for r in secrets.BASE_RULES],
+        F.sha2(secrets.spans_text(base), 256).alias("base_sha256"),
+        secrets.spans_text(F.col(spans)).alias("spans"),
+    )
+
+
+def op8_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, hits = decontaminate.with_hits(docs, _table(spark, sf_dir, "benchmark"), window=8)
+    h = F.col(hits)
+    return found.select(
+        "doc_id",
+        h["n_words"].alias("n_words"),
+        h["n_hit"].alias("n_hit"),
+        F.size(h["items"]).cast("long").alias("n_items"),
+        decontaminate.items_digest(h["items"]).alias("items_sha256"),
+        decontaminate.contaminated(h, least_items=2).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_duplicates": op4_simhash_near_duplicates,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_suffix_decontamination": op8_suffix_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
