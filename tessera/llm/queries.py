@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, mixing, secrets, simhash, urls, warc
+from tessera.llm import decontaminate, langid, mixing, secrets, simhash, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(_table(spark, sf_dir, "documents"), folds=3, fold=1)
+
+
 def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(_table(spark, sf_dir, "pages"))
 
@@ -23,6 +27,10 @@ def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16().alias("fingerprint"), "component_id")
 
 
+def op6_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.severities(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found, spans = secrets.with_spans(docs)
@@ -59,8 +67,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_crf_language_id": op2_crf_language_id,
     "op3_warc_archive": op3_warc_archive,
     "op4_simhash_near_duplicates": op4_simhash_near_duplicates,
+    "op6_toxicity_severity": op6_toxicity_severity,
     "op7_secret_scan": op7_secret_scan,
     "op8_suffix_decontamination": op8_suffix_decontamination,
     "op9_source_mixing": op9_source_mixing,
