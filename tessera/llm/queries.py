@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, langid, mixing, secrets, simhash, toxicity, urls, warc
+from tessera.llm import decontaminate, langid, lm, mixing, secrets, simhash, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_kneser_ney_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.perplexities(_table(spark, sf_dir, "documents"), folds=5, fold=1)
+
+
 def op2_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(_table(spark, sf_dir, "documents"), folds=3, fold=1)
 
@@ -67,6 +71,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_kneser_ney_scoring": op1_kneser_ney_scoring,
     "op2_crf_language_id": op2_crf_language_id,
     "op3_warc_archive": op3_warc_archive,
     "op4_simhash_near_duplicates": op4_simhash_near_duplicates,
