@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, langid, lm, mixing, secrets, simhash, toxicity, urls, warc
+from tessera.llm import decontaminate, itq, langid, lm, mixing, secrets, simhash, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16().alias("fingerprint"), "component_id")
 
 
+def op5_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op6_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severities(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_crf_language_id": op2_crf_language_id,
     "op3_warc_archive": op3_warc_archive,
     "op4_simhash_near_duplicates": op4_simhash_near_duplicates,
+    "op5_itq_near_duplicates": op5_itq_near_duplicates,
     "op6_toxicity_severity": op6_toxicity_severity,
     "op7_secret_scan": op7_secret_scan,
     "op8_suffix_decontamination": op8_suffix_decontamination,
