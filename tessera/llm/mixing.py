@@ -9,8 +9,9 @@ Selection: a source's target first takes whole epochs. The rest is drawn without
 replacement: each document has an exponential key, -ln(u) divided by its quality
 weight; keys are sorted within the source and sizes summed along them up to the
 rest. The document that would cross the rest is passed over, and a second sum
-runs over those that still fit in the gap, to the nearest document. u comes from
-an MD5 digest of the seed and the id, so reruns agree.
+runs over those that fit in the gap. What then remains is closed by the one
+document left whose size comes nearest to it, if that helps. u comes from an MD5
+digest of the seed and the id, so reruns agree.
 
 No source is gathered in one task: keys are cut into ranges, sizes are summed by
 (source, range) before the shuffle, and only one range's rows are sorted together.
@@ -131,15 +132,24 @@ def mixed(docs: DataFrame, labels: DataFrame | None = None, mix: Mix = Mix()) ->
     gaps = save(gaps, f"{folder}/gaps")
     rows = lookup_join(first.drop("rest"), gaps, "s", counts, total)
     fits = ~F.col("in_first") & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
-    tried = prefix_sums(rows, F.when(fits, F.col("size")).otherwise(0))
-    chosen = F.col("in_first") | (fits & (F.col("upto") - F.col("size") / 2 < F.col("gap")))
-    copies = F.least(F.col("epochs") + F.when(chosen, 1).otherwise(0), F.lit(mix.most_epochs))
-    return tried.select("doc_id", "s", "size", F.col("source_size").cast("long"), "target", (F.col("size") * copies).cast("long").alias("taken"))
+    second = prefix_sums(rows, F.when(fits, F.col("size")).otherwise(0))
+    second = second.withColumn("chosen", F.col("in_first") | (fits & (F.col("upto") <= F.col("gap"))))
+    second = save(second.drop("upto", "in_first", "part"), f"{folder}/second")
+
+    added = second.groupBy("s").agg(F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0)).alias("added"))
+    ends = plan.join(added, "s").select("s", (F.col("rest") - F.col("added")).alias("left"))
+    left = lookup_join(second.where("not chosen and size > 0"), save(ends, f"{folder}/ends"), "s", counts, total).where(F.col("size") < 2 * F.col("left"))
+    nearest = left.groupBy("s").agg(F.min(F.struct(F.abs(F.col("size") - F.col("left")).alias("off"), "key", "doc_id", "size")).alias("last"))
+    done = lookup_join(second, save(nearest, f"{folder}/nearest"), "s", counts, total)
+    last = F.coalesce((F.col("key") == F.col("last.key")) & F.col("doc_id").eqNullSafe(F.col("last.doc_id")) & (F.col("size") == F.col("last.size")), F.lit(False))
+    copies = F.least(F.col("epochs") + F.when(F.col("chosen") | last, 1).otherwise(0), F.lit(mix.most_epochs))
+    return done.select("doc_id", "s", "size", F.col("source_size").cast("long"), "target", (F.col("size") * copies).cast("long").alias("taken"))
 
 
 def mixture(docs: DataFrame, labels: DataFrame | None = None, mix: Mix = Mix()) -> DataFrame:
     """The documents taken, with size, source_size, target and taken (words, repeats counted)."""
     names = {c: free_name(docs, c) for c in ("size", "source_size", "target", "taken")}
-    taken = mixed(docs, labels, mix).where("taken > 0").distinct().select(F.col("doc_id").alias("_id"), F.col("s").alias("_s"), *[F.col(c).alias(f"_{c}") for c in names])
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (source_key(F.col("source")) == F.col("_s")) & (size_of(F.col("text")) == F.col("_size"))
-    return docs.join(taken, same).select(*docs.columns, *[F.col(f"_{c}").alias(n) for c, n in names.items()])
+    inner = {c: free_name(docs, f"_{c}") for c in ("doc_id", "s", *names)}
+    taken = mixed(docs, labels, mix).where("taken > 0").distinct().select(*[F.col(c).alias(n) for c, n in inner.items()])
+    same = F.col("doc_id").eqNullSafe(F.col(inner["doc_id"])) & (source_key(F.col("source")) == F.col(inner["s"])) & (size_of(F.col("text")) == F.col(inner["size"]))
+    return docs.join(taken, same).select(*docs.columns, *[F.col(inner[c]).alias(n) for c, n in names.items()])

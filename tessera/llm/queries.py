@@ -145,9 +145,17 @@ ORACLE_SQL: dict[str, str] = {
     tried as (
       select *, sum(case when fit then size else 0 end) over (partition by s order by key, doc_id, size range between unbounded preceding and current row) as more from fits
     )
-    select doc_id, size, source_size::bigint as source_size, target,
-           (size * least(epochs + case when upto <= rest or (fit and more - size / 2 < gap) then 1 else 0 end, 3))::bigint as taken
-    from tried
+    , chosen as (
+      select *, upto <= rest or (fit and more <= gap) as chosen from tried
+    ), ends as (
+      select *, rest - sum(case when chosen then size else 0 end) over (partition by s) as remains from chosen
+    ), nearest as (
+      select s, key, doc_id, size from (select * from ends where not chosen and size > 0 and size < 2 * remains)
+      qualify rank() over (partition by s order by abs(size - remains), key, doc_id, size) = 1
+    )
+    select e.doc_id, e.size, source_size::bigint as source_size, target,
+           (e.size * least(epochs + case when chosen or n.s is not null then 1 else 0 end, 3))::bigint as taken
+    from ends e left join (select distinct * from nearest) n on e.s = n.s and e.key = n.key and e.doc_id is not distinct from n.doc_id and e.size = n.size
     """,
     "op10_url_filter": urls.duckdb_sql(),
 }

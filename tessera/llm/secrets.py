@@ -241,8 +241,8 @@ def of_kinds(found: Column, kinds: list[str]) -> Column:
     return F.filter(found, lambda s: s["kind"].isin(kinds))
 
 
-def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with each run of overlapping spans replaced by the mark."""
+def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", mark: str = "[SECRET]", length_col: str | None = None) -> DataFrame:
+    """docs with each run of overlapping spans replaced by the mark; length_col, if given, is the text's length."""
     found, name = with_spans(docs, rules, text_col)
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
 
@@ -258,4 +258,8 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "
         return F.concat(state["done"], F.substring(text, (state["at"] + 1).cast("int"), F.length(text)))
 
     text = F.when(F.size(name) > 0, F.aggregate(F.col(name), start, step, finish)).otherwise(F.col(text_col))
-    return found.withColumn(text_col, text).select(*docs.columns)
+    out = found.withColumn(text_col, text)
+    if length_col:
+        length = F.when(F.size(name) > 0, F.length(text_col)).otherwise(F.col(length_col))
+        out = out.withColumn(length_col, length.cast(docs.schema[length_col].dataType))
+    return out.select(*docs.columns)

@@ -23,11 +23,11 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from tessera.llm.tables import components, importable, lookup_join, save, shared_folder
+from tessera.llm.tables import components, free_name, importable, lookup_join, save, shared_folder
 
 SEED = 42
 BLOCKS = 6
@@ -51,18 +51,15 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row."""
-    importable(docs.sparkSession)
+def fingerprint_of(spark: SparkSession, text: Column, shingle: int = 3) -> Column:
+    """The signed fingerprint of each text."""
+    importable(spark)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            fps = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.array([fingerprint(t.as_py(), shingle) for t in batch], pa.int64())
 
-    kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("t"))
-    kind = kept.schema["doc_id"].dataType.simpleString()
-    return kept.mapInArrow(run, f"doc_id {kind}, fp long")
+    return F.arrow_udf(run, "long").asNondeterministic()(text.cast("string").cast("binary"))
 
 
 def masks(distance: int, blocks: int = BLOCKS) -> list[int]:
@@ -124,21 +121,45 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     return tiles.mapInArrow(run, "a long, b long").distinct()
 
 
+def grouped(rows: DataFrame, distance: int, folder: str) -> DataFrame:
+    """(fp, component_id, home, n) of every distinct fp of rows (doc_id, fp).
+
+    component_id is the smallest id reachable through links, home the smallest
+    fingerprint of the component that has it, n the rows with fp.
+    """
+    nodes = save(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), f"{folder}/nodes")
+    found = save(components(links(nodes.select("fp"), distance), folder), f"{folder}/components")
+    rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("first"))
+    lookup = rooted.join(named, "root").select("fp", F.col("first.least").alias("component_id"), F.col("first.fp").alias("home"), "n")
+    return save(lookup, f"{folder}/lookup")
+
+
 def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the smallest id reachable through links."""
     spark = docs.sparkSession
     folder = shared_folder(spark)
-    rows = save(fingerprints(docs, shingle, id_col, text_col), f"{folder}/fingerprints")
-    nodes = save(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), f"{folder}/nodes")
-    found = save(components(links(nodes.select("fp"), distance), folder), f"{folder}/components")
-    rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    lookup = save(rooted.join(named, "root").select("fp", "component_id", "n"), f"{folder}/lookup")
-    total = nodes.agg(F.sum("n")).first()[0] or 0
+    fp = fingerprint_of(spark, F.col(text_col), shingle)
+    rows = save(docs.select(F.col(id_col).alias("doc_id"), fp.alias("fp")), f"{folder}/fingerprints")
+    lookup = grouped(rows, distance, folder)
+    total = lookup.agg(F.sum("n")).first()[0] or 0
     out = lookup_join(rows, lookup.select("fp", "component_id"), "fp", lookup.select("fp", "n"), total)
     return out.select("doc_id", "fp", "component_id")
 
 
+def deduplicated(docs: DataFrame, distance: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component: one with the smallest id, and of repeated rows any one."""
+    spark = docs.sparkSession
+    folder = shared_folder(spark)
+    name = free_name(docs, "fp")
+    marked = save(docs.withColumn(name, fingerprint_of(spark, F.col(text_col), shingle)), f"{folder}/marked")
+    lookup = grouped(marked.select(F.col(id_col).alias("doc_id"), F.col(name).alias("fp")), distance, folder)
+    home, least = free_name(marked, "home"), free_name(marked, "least")
+    keep = lookup.where("fp = home").select(F.col("fp").alias(home), F.col("component_id").alias(least))
+    same = (F.col(name) == F.col(home)) & F.col(id_col).eqNullSafe(F.col(least))
+    return marked.join(keep, same, "left_semi").dropDuplicates([name, id_col]).select(*docs.columns)
+
+
 def hex16(fp: str = "fp"):
     """Sixteen lower-case hex digits of a signed 64-bit column."""
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")

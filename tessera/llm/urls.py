@@ -23,10 +23,11 @@ columns other than the id and the url are not read.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_RULES = 20_000
@@ -102,6 +103,11 @@ def parts(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
+def constants(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table from one literal of the plan."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")))
+
+
 def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row."""
     if len(rules) > MOST_RULES:
@@ -114,11 +120,14 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "pag
     tokens = F.array_distinct(F.split(lower, "[^a-z0-9]+"))
 
     known = sorted({t for r in rules for t in r.tokens()})
-    wanted = spark.createDataFrame([(t,) for t in known], "token string")
+    wanted = constants(spark, [{"token": t} for t in known], "token string")
     seen = pages.select(F.explode(tokens).alias("token")).join(F.broadcast(wanted), "token").groupBy("token").agg(F.count("*").alias("n"))
     counts = {r.token: r.n for r in seen.collect()}  # at most the rules' own tokens
-    index = [(min(r.tokens(), key=lambda t: counts.get(t, 0)), r.name, r.verdict, r.anchored, r.regex(), len(r.name)) for r in rules]
-    filed = spark.createDataFrame(index, "token string, name string, judgement string, anchored boolean, regex string, length int")
+    index = [
+        {"token": min(r.tokens(), key=lambda t: counts.get(t, 0)), "name": r.name, "judgement": r.verdict, "anchored": r.anchored, "regex": r.regex(), "length": len(r.name)}
+        for r in rules
+    ]
+    filed = constants(spark, index, "token string, name string, judgement string, anchored boolean, regex string, length int")
 
     host, path = parts(url)
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), lower.alias("lower"), tokens.alias("tokens"))
