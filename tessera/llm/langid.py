@@ -166,7 +166,7 @@ def padded(first: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndar
     return which[np.minimum(at, len(which) - 1)]
 
 
-def train(rows: list[tuple[bytes, str]], rounds: int = 40, spliced: float = 0.3, seed: int = 5, rate: float = 0.1, decay: float = 1e-5, most_windows: int = 4000) -> Model:
+def train(rows: list[tuple[bytes, str]], rounds: int = 40, spliced: float = 0.3, seed: int = 5, rate: float = 0.1, decay: float = 1e-5, most_windows: int = 3000) -> Model:
     """Maximise the conditional likelihood of (text, language) rows by Adam over all windows."""
     languages = sorted({lang for _, lang in rows})
     k, rng = len(languages), np.random.default_rng(seed)
@@ -188,6 +188,9 @@ def train(rows: list[tuple[bytes, str]], rounds: int = 40, spliced: float = 0.3,
             end = lengths[j]
             number[i, cut:end], gold[i, cut:end], lengths[i] = number[j, cut:end], label[j], end
     live = np.arange(number.shape[1])[None, :] < lengths[:, None]
+    used = np.unique(number[live])
+    number = np.minimum(np.searchsorted(used, number), len(used) - 1)
+    words = Words(words.data, words.starts[used], words.ends[used], words.hashes[used], number, words.bounds)
     counts = np.bincount(number[live] * k + gold[live], minlength=len(words.hashes) * k).reshape(-1, k)
     members = np.zeros((len(words.hashes), k), np.float32)
     for lang in range(k):
@@ -211,7 +214,7 @@ def train(rows: list[tuple[bytes, str]], rounds: int = 40, spliced: float = 0.3,
         post, pairs, _ = marginals(word_scores[number], lengths, transitions.astype(np.float32), start.astype(np.float32))
         gap = (onehot - post).reshape(-1, k)
         by_word = np.stack([np.bincount(number.ravel(), gap[:, c], len(per_word)) for c in range(k)], axis=1)
-        spread = by_word[feature_owner]
+        spread = by_word.astype(np.float32)[feature_owner]
         grads = [
             np.stack([np.bincount(ids, spread[:, c], FEATURES) for c in range(k)], axis=1) / total - decay * weights,
             (gold_pairs - pairs) / total - decay * transitions,
