@@ -51,6 +51,28 @@ def prompt_set_hash(rows: DataFrame, key: str = "key", order: str | None = None)
     return rows.agg(F.sha2(F.array_join(keys, "\n"), 256).alias("sha256"), F.count("*").alias("n"))
 
 
+def single_value(df: DataFrame, column: str):
+    """The one value of a column, such as the token limit that all systems must share."""
+    r = df.agg(F.countDistinct(column).alias("n"), F.count_if(F.col(column).isNull()).alias("nulls"), F.min(column).alias("value")).first()
+    if r.n != 1 or r.nulls:
+        raise ValueError(f"{column} must have one value, found {r.n + bool(r.nulls)}")
+    return r.value
+
+
+def skipped_systems(expected: DataFrame, available: DataFrame) -> DataFrame:
+    """(system, reason) of expected systems, with the adapter each needs, that have no adapter."""
+    found = available.select("adapter").distinct().withColumn("there", F.lit(True))
+    joined = expected.join(found, "adapter", "left")
+    return joined.where(F.col("adapter").isNotNull() & F.col("there").isNull()).select("system", F.concat(F.lit("no adapter at "), "adapter").alias("reason"))
+
+
+def check_system_names(names: DataFrame, column: str = "system") -> None:
+    """Unique, and made of letters, digits, dots, dashes and underscores."""
+    bad = names.groupBy(column).agg(F.count("*").alias("n")).where((F.col("n") > 1) | ~F.col(column).rlike(r"^[A-Za-z0-9_.-]+\z") | F.col(column).isNull()).first()
+    if bad:
+        raise ValueError(f"bad or repeated system name {bad[0]!r}")
+
+
 def misaligned(generations: DataFrame, rows: DataFrame) -> DataFrame:
     """(index) of rows and generations that don't answer one another; both have index and prompt_key."""
     a = rows.select(F.col("index").alias("i"), F.col("prompt_key").alias("wanted"))

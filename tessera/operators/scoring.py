@@ -32,6 +32,12 @@ def long_rules(scores: DataFrame, keys: list[str]) -> DataFrame:
     return scores.select(*keys, F.explode(entries).alias("r")).select(*keys, "r.*")
 
 
+def failed_reasons() -> Column:
+    """`rule: reason` of each rule that applies and failed, in order."""
+    entry = lambda n: F.when(F.col(n)["applies"] & ~F.col(n)["passed"], F.concat(F.lit(f"{n}: "), F.col(n)["reason"]))
+    return F.array_compact(F.array(*[entry(n) for n in rules.RULES]))
+
+
 def with_verdict(scores: DataFrame) -> DataFrame:
     return scores.withColumn("verdict", rules.verdict(F.col("failed"), F.col("stopped"))).withColumn("reject_reasons", rules.reject_reasons(F.col("failed"), F.col("stopped")))
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,6 +73,12 @@ def append(spark: SparkSession, source: str, schema: StructType, out: str, check
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def newest_checkpoint(folder: str | Path, marker: str) -> Path | None:
+    """checkpoint-N with the largest N that holds the marker file of a complete one."""
+    numbered = [(int(m[1]), p) for p in Path(folder).glob("checkpoint-*") if (m := re.fullmatch(r"checkpoint-(\d+)", p.name)) and (p / marker).exists()]
+    return max(numbered, default=(0, None), key=lambda x: x[0])[1]
+
+
 def may_start(checkpoints: bool, complete: bool, resume: bool) -> None:
     """A fresh start must not run over checkpoints; a resumed one needs a complete one."""
     if not resume and checkpoints:

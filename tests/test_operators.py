@@ -239,3 +239,20 @@ def test_reports(spark, systems):
     assert text.SYSTEM_PROMPT
     t = scoring.throughput(F.lit(10), F.lit(100), F.lit(0))
     assert spark.range(1).select(t.alias("t")).first().t.samples_per_minute is None
+
+
+def test_failed_reasons_and_guards(spark, systems):
+    _, scores = systems
+    got = scores.where("system = 'a' and index = 1").select(scoring.failed_reasons()).first()[0]
+    assert got[0] == "clean_stop: no stop token after 384 tokens" and got[1].startswith("repetition: 'over and over again'")
+    limits = spark.createDataFrame([("a", 384), ("b", 384), ("c", 10)], "system string, n int")
+    assert checks.single_value(limits.where("n = 384"), "n") == 384
+    with pytest.raises(ValueError, match="one value"):
+        checks.single_value(limits, "n")
+    wanted = spark.createDataFrame([("base", None), ("sft", "x"), ("dpo", "y")], "system string, adapter string")
+    there = spark.createDataFrame([("x",)], "adapter string")
+    assert [tuple(r) for r in checks.skipped_systems(wanted, there).collect()] == [("dpo", "no adapter at y")]
+    checks.check_system_names(wanted)
+    for names in ([("a/b",)], [("a",), ("a",)]):
+        with pytest.raises(ValueError, match="system name"):
+            checks.check_system_names(spark.createDataFrame(names, "system string"))

@@ -125,3 +125,12 @@ def test_stream_appends_each_file_once(spark, tmp_path):
     df.where("index >= 6").coalesce(1).write.mode("append").parquet(source)
     log.append(spark, source, df.schema, out, check, transform=lambda b: b.withColumn("index", F.col("index") * 10))
     assert sorted(r["index"] for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3, 4, 5, 60, 70, 80, 90]
+
+
+def test_newest_checkpoint(tmp_path):
+    assert log.newest_checkpoint(tmp_path, "done") is None
+    for n, done in ((9, True), (10, True), (11, False)):
+        (tmp_path / f"checkpoint-{n}").mkdir()
+        if done:
+            (tmp_path / f"checkpoint-{n}" / "done").write_text("")
+    assert log.newest_checkpoint(tmp_path, "done").name == "checkpoint-10"
