@@ -11,9 +11,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Of text that is sent to a Python worker at once, unless the session has a limit of its own.
+BATCH_BYTES = 8 << 20
+UNLIMITED = str(2**31 - 1)
+
+
 def importable(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package.
+    """Let Python workers on this machine import the package, and bound the batches they get.
 
+    Records are counted in batches of 10,000 by default, whatever their length; a
+    bound in bytes keeps a worker's memory the same for long texts.
     On a cluster the package is installed or sent with --py-files; in local mode
     the driver may have found it through sys.path alone, which workers don't see.
     """
@@ -24,6 +31,9 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
     if root not in sys.path:
         sys.path.append(root)
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, UNLIMITED) in (UNLIMITED, "-1"):
+        spark.conf.set(limit, str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
