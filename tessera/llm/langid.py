@@ -166,7 +166,7 @@ def padded(first: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndar
     return which[np.minimum(at, len(which) - 1)]
 
 
-def train(rows: list[tuple[bytes, str]], rounds: int = 40, spliced: float = 0.3, seed: int = 5, rate: float = 0.1, decay: float = 1e-5, most_windows: int = 3000) -> Model:
+def train(rows: list[tuple[bytes, str]], rounds: int = 40, spliced: float = 0.3, seed: int = 5, rate: float = 0.1, decay: float = 1e-5, most_windows: int = 1500) -> Model:
     """Maximise the conditional likelihood of (text, language) rows by Adam over all windows."""
     languages = sorted({lang for _, lang in rows})
     k, rng = len(languages), np.random.default_rng(seed)
@@ -259,7 +259,7 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def fit(docs: DataFrame, learn: Column, per_language: int = 300, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
+def fit(docs: DataFrame, learn: Column, per_language: int = 150, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """Learn from rows for which learn holds, at most per_language of each language."""
     rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).cast("string").alias("l"), F.lower(F.col(text_col).cast("string")).cast("binary").alias("t"), learn.alias("ok"))
     rows = rows.where(F.col("ok") & F.col("i").isNotNull() & F.col("l").isNotNull() & F.col("t").isNotNull() & (F.length("t") <= LONGEST))
@@ -299,7 +299,7 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> tupl
     return docs.withColumn(name, predict(lettered)), name
 
 
-def identified(docs: DataFrame, folds: int = 3, fold: int = 1, per_language: int = 300) -> DataFrame:
+def identified(docs: DataFrame, folds: int = 3, fold: int = 1, per_language: int = 150) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, words), learning from rows whose crc32(doc_id) mod folds is not fold."""
     out = held_out(F.col("doc_id"), folds, fold)
     model = fit(docs, ~out, per_language)

@@ -45,7 +45,7 @@ def _bytes() -> np.ndarray:
     return table
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (BASE, BASE_INVERSE):
@@ -66,7 +66,7 @@ def spans(data: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes, never 0, of the given spans."""
     n = len(data)
-    power, inverse = _powers(max(SLICE + 65536, 1 << max(1, n - 1).bit_length()) if n > SLICE + 65536 else SLICE + 65536)
+    power, inverse = _powers(max(SLICE + 65536, n if n <= SLICE + 65536 else 1 << n.bit_length()))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_bytes()[data] * power[:n], out=sums[1:])
     h = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
