@@ -151,13 +151,16 @@ def deduplicated(docs: DataFrame, distance: int = 3, shingle: int = 3, id_col: s
     """One row of each component: one with the smallest id, and of repeated rows any one."""
     spark = docs.sparkSession
     folder = shared_folder(spark)
-    name = free_name(docs, "fp")
-    marked = save(docs.withColumn(name, fingerprint_of(spark, F.col(text_col), shingle)), f"{folder}/marked")
-    lookup = grouped(marked.select(F.col(id_col).alias("doc_id"), F.col(name).alias("fp")), distance, folder)
-    home, least = free_name(marked, "home"), free_name(marked, "least")
-    keep = lookup.where("fp = home").select(F.col("fp").alias(home), F.col("component_id").alias(least))
-    same = (F.col(name) == F.col(home)) & F.col(id_col).eqNullSafe(F.col(least))
-    return marked.join(keep, same, "left_semi").dropDuplicates([name, id_col]).select(*docs.columns)
+    name, row = free_name(docs, "fp"), free_name(docs, "row")
+    marked = docs.withColumn(name, fingerprint_of(spark, F.col(text_col), shingle)).withColumn(row, F.monotonically_increasing_id())
+    marked = save(marked, f"{folder}/marked")
+    narrow = marked.select(F.col(row).alias("row"), F.col(id_col).alias("doc_id"), F.col(name).alias("fp"))
+    lookup = grouped(narrow, distance, folder)
+    total = lookup.agg(F.sum("n")).first()[0] or 0
+    homes = lookup.where("fp = home").select("fp", F.lit(True).alias("is_home"), "component_id")
+    found = lookup_join(narrow, homes, "fp", lookup.select("fp", "n"), total)
+    first = found.where(F.col("is_home") & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("fp").agg(F.min("row").alias(row))
+    return marked.join(first.select(row), row, "left_semi").select(*docs.columns)
 
 
 def hex16(fp: str = "fp"):
