@@ -517,12 +517,11 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text") -> Model:
         h, n = table.column("hash").to_numpy().view(np.uint64), table.column("n").to_numpy()
         order = np.argsort(h)
         write_arrays(layout.path("words", key[0].as_py()), {"hash": h[order], "count": narrow(n[order])})
-        top = np.sort(n)[::-1][: 4 * parts]
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "words": pa.array([len(h)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64()), "top": pa.array([[*map(int, top)]], pa.list_(pa.int64()))})
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "words": pa.array([len(h)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64())})
 
     part = (F.shiftrightunsigned("hash", 32) * F.lit(parts) / F.lit(float(1 << 32))).cast("long")
-    stored = count_words(rows).select("hash", "n", part.alias("part")).groupBy("part").applyInArrow(store_words, "part long, words long, tokens long, top array<long>")
-    sizes = {r.part: r for r in save(stored, f"{shared}/words").select("part", "words", "tokens").collect()}
+    stored = count_words(rows).select("hash", "n", part.alias("part")).groupBy("part").applyInArrow(store_words, "part long, words long, tokens long")
+    sizes = {r.part: r for r in save(stored, f"{shared}/words").collect()}
     layout.bases = np.concatenate([[0], np.cumsum([sizes[p].words if p in sizes else 0 for p in range(parts)])]).astype(np.int64)
     layout.tokens = sum(r.tokens for r in sizes.values())
     layout.heavy = heavy_words(layout, layout.tokens / (4 * parts))
