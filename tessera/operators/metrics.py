@@ -1,51 +1,81 @@
 """Rates with bootstrap intervals, agreement, lengths, perplexity and training logs.
 
 A bootstrap of 0/1 flags depends on their number and sum only, so intervals are
-computed from two counts: resample r adds up, over positions j, whether a seeded
-draw of (r, j) falls on a true flag. Groups of one size share their draws. Above
-EXACT_N flags a resample's sum comes from the normal limit of the binomial, with a
-seeded draw; that keeps the work for an interval fixed.
+computed from counts: resample r adds up, over all positions j, whether a seeded
+draw of (r, j) falls on a true flag. The digest of (r, j) is the same for all groups,
+so those of like size are drawn together, and long resamples in parts of EXACT_N
+positions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import seeded
+from tessera.sources.shared import importable
 
-EXACT_N = 1000
+#: Positions of a resample that are drawn at once.
+EXACT_N = 1 << 14
 RESAMPLES = 1000
 #: Over which the resamples of all groups are dealt.
 TASKS = 32
 
 
-def _normal(seed: int, r: Column) -> Column:
-    u, v = seeded.uniform(f"{seed}:u", r), seeded.uniform(f"{seed}:v", r)
-    return F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * v)
-
-
-def resampled_mean(up: Column, down: Column, n: Column, r: Column, seed: int) -> Column:
-    """Mean of resample r of n values, of which `up` are 1, `down` are -1 and the rest 0; null if n is 0."""
-    size = F.greatest(n, F.lit(1)).cast("int")
-
-    def value(j: Column) -> Column:
-        d = seeded.draw(size.cast("long"), seed, r, j)
-        return F.when(d < up, 1).when(d < up + down, -1).otherwise(0)
-
-    exact = F.aggregate(F.sequence(F.lit(0), size - 1), F.lit(0), lambda a, j: a + value(j)) / size
-    mean = (up - down) / size
-    spread = F.sqrt(F.greatest((up + down) / size - mean * mean, F.lit(0.0)) / size)
-    limit = F.greatest(F.least(mean + spread * _normal(seed, r), F.lit(1.0)), F.lit(-1.0))
-    return F.when(n == 0, None).when(n <= EXACT_N, exact).otherwise(limit)
+def digests(seed: int, r: int, lo: int, hi: int) -> np.ndarray:
+    """What seeded.draw takes modulo n, for positions lo to hi - 1 of resample r."""
+    head = f"{seed}:{r}:".encode()
+    made = b"".join([md5(head + b"%d" % j, usedforsecurity=False).digest() for j in range(lo, hi)])
+    return np.frombuffer(made, ">u4")[::4].astype(np.uint32)
+
+
+def part_sums(drawn: np.ndarray, lo: int, cases: list[tuple[int, int, int]]) -> list[int]:
+    """Of each case (n, up, down): the sum of a resample over the positions drawn, from lo on; up values are 1, down are -1."""
+    places: dict[int, np.ndarray] = {}
+    out = []
+    for n, up, down in cases:
+        if n not in places:
+            here = drawn[: max(0, n - lo)]
+            places[n] = here % np.uint32(n) if n < 1 << 32 else here
+        at = places[n]
+        out.append(int(np.count_nonzero(at < up) - np.count_nonzero((at >= up) & (at < up + down))) if down else int(np.count_nonzero(at < up)))
+    return out
+
+
+def resampled(cases: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """(n, up, down, m): means of all resamples of n values, of which `up` are 1, `down` are -1 and the rest 0."""
+    importable(cases.sparkSession)
+    like = cases.groupBy(F.length(F.bin("n")).alias("like")).agg(F.collect_list(F.struct("n", "up", "down")).alias("cases"), F.max("n").alias("most"))
+    rounds = like.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    parts = rounds.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("most") - 1, F.lit(EXACT_N).cast("long"))))
+    step = EXACT_N
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for x in batch.to_pylist():
+                wanted = [(c["n"], c["up"], c["down"]) for c in x["cases"] if c["n"] > x["lo"]]
+                drawn = digests(seed, x["r"], x["lo"], min(x["lo"] + step, x["most"]))
+                rows += [(*c, x["r"], s) for c, s in zip(wanted, part_sums(drawn, x["lo"], wanted))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows)], names=["n", "up", "down", "r", "s"])
+
+    sums = parts.repartition(TASKS, "like", "r", "lo").mapInArrow(run, "n long, up long, down long, r long, s long")
+    return sums.groupBy("n", "up", "down", "r").agg((F.sum("s") / F.col("n")).alias("m"))
 
 
 def with_interval(counts: DataFrame, up: str, down: str, resamples: int, seed: int, level: float = 95.0) -> DataFrame:
-    """Adds ci_lo and ci_hi; the resamples of a row are rows of their own, dealt over TASKS tasks."""
+    """Adds ci_lo and ci_hi, null if n is 0; groups with the same counts share them."""
     tail = (100 - level) / 200
-    rounds = counts.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition(TASKS, *counts.columns, "_r")
-    made = rounds.withColumn("_m", resampled_mean(F.col(up), F.col(down), F.col("n"), F.col("_r"), seed))
-    return made.groupBy(*counts.columns).agg(F.percentile("_m", tail).alias("ci_lo"), F.percentile("_m", 1 - tail).alias("ci_hi"))
+    key = [F.col(c).cast("long").alias(name) for c, name in (("n", "n"), (up, "up"), (down, "down"))]
+    made = resampled(counts.select(*key).where("n > 0").distinct(), resamples, seed)
+    ends = made.groupBy("n", "up", "down").agg(F.percentile("m", tail).alias("ci_lo"), F.percentile("m", 1 - tail).alias("ci_hi"))
+    ends = ends.select(F.struct("n", "up", "down").alias("_case"), "ci_lo", "ci_hi")
+    return counts.withColumn("_case", F.struct(*key)).join(ends, "_case", "left").drop("_case")
 
 
 def rates(flags: DataFrame, keys: list[str], flag: str = "passed", resamples: int = RESAMPLES, seed: int = 0, every: DataFrame | None = None) -> DataFrame:

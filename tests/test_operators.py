@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,20 @@ def test_large_groups_use_the_limit(spark, monkeypatch):
     assert abs(exact.ci_lo - near.ci_lo) < 0.012 and abs(exact.ci_hi - near.ci_hi) < 0.012 and exact.ci_lo < 0.3 < exact.ci_hi
 
 
+def test_large_groups_are_drawn_position_by_position(spark):
+    from hashlib import md5
+
+    n, up, down = 2121, 2, 3
+    draw = lambda r, j: int(md5(f"0:{r}:{j}".encode()).hexdigest()[:8], 16) % n
+    sums = [sum((d < up) - (up <= d < up + down) for d in (draw(r, j) for j in range(n))) for r in range(60)]
+    want = np.quantile(np.array(sums) / n, [0.025, 0.975])
+    counts = spark.createDataFrame([("x", up, down, n)], "g string, k long, z long, n long")
+    got = metrics.with_interval(counts, "k", "z", 60, 0).first()
+    assert (got.ci_lo, got.ci_hi) == pytest.approx(tuple(want), abs=1e-12)
+    rate = metrics.with_interval(counts.withColumn("z", F.lit(0)), "k", "z", 200, 0).first()
+    assert rate.ci_lo >= 0
+
+
 def test_paired_differences(spark):
     a, b = "100100", "110110"
     pairs = spark.createDataFrame([("g", x == "1", y == "1") for x, y in zip(a, b)], "g string, a boolean, b boolean")
