@@ -50,8 +50,15 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", least=16),
     Rule("hex", r"[0-9a-f]{32,}"),
 )
+#: Between lines of a key, also where a string literal or a join of lines hides the breaks.
+GAP = r"(?:\s|\\[nr])+"
+#: A key without its END line: headers, tokens of 16 letters or more, a shorter last one and PGP's checksum.
+KEY_LINES = (
+    rf"(?:[\x20\t]*(?:\r?\n|\\n)(?:Proc-Type|DEK-Info|Version|Comment|Charset|Hash):[^\r\n]*)*"
+    rf"(?:(?:{GAP}[A-Za-z0-9+/]{{16,}}={{0,2}})+(?:{GAP}[A-Za-z0-9+/]{{1,75}}={{0,2}}(?=\s|\\|\Z))?(?:{GAP}=[A-Za-z0-9+/]{{4}})?)?"
+)
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("private_key", rf"-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----)[\s\S])*-----END [A-Z ]{{0,20}}PRIVATE KEY(?: BLOCK)?-----|{KEY_LINES})"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),

@@ -64,3 +64,13 @@ def test_redaction_and_empty_table(spark):
     got = {r.doc_id: r.text for r in secrets.redacted(df).collect()}
     assert got == {1: "a [SECRET] b [SECRET]", 2: None, 3: "clean é", 4: "é [SECRET] z"}
     assert secrets.redacted(df.where("false")).count() == 0
+
+
+def test_private_key_is_hidden_with_its_body(spark):
+    lines = ["MIIEpAIBAAKCAQEA" + "abCD09+/" * 6] * 3
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A\n\n" + "\n".join([*lines, "q1Zx=="])
+    pgp = "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: 1\n\n" + "\n".join([*lines, "Zz9+", "=njUN"]) + "\n-----END PGP PRIVATE KEY BLOCK-----"
+    texts = [f"a {pem}\n-----END RSA PRIVATE KEY----- z", f"a {pem}\n\nplain words follow", f"a {pgp} z", "a " + pem.replace("\n", "\\n") + "\\n-----END RSA PRIVATE KEY----- z", "a -----BEGIN PRIVATE KEY----- is a header", "a " + pgp.split("\n-----END")[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = [r.text for r in secrets.redacted(docs).orderBy("doc_id").collect()]
+    assert got == ["a [SECRET] z", "a [SECRET]\n\nplain words follow", "a [SECRET] z", "a [SECRET] z", "a [SECRET] is a header", "a [SECRET]"]
