@@ -18,8 +18,8 @@ Equal vectors are one class and are not compared with each other. The work left
 for a group of many different vectors that are all close is the counting itself.
 
 Defined results: vectors that are null, empty, zero, hold null or non-finite
-components, or have another length than most, link with nothing; a null id is
-counted as a row but names no component (component_id is null if none reachable
+components, link with nothing; the vectors of each length are a group of their own,
+compared with each other as any; a null id is counted as a row but names no component (component_id is null if none reachable
 has an id, and kept is false); repeated rows link with each other; an empty table
 gives an empty one; other columns, the label among them, are not read.
 """
@@ -154,16 +154,22 @@ def compare(table: pa.Table, plan: Plan, d: int) -> pa.Table:
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
-    spark = vectors.sparkSession
-    importable(spark)
-    folder = shared_folder(spark)
+    importable(vectors.sparkSession)
     read = valid(vectors, id_col, vector_col)
-    usual = read.where("ok").groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    d = usual.d if usual else 1
-    ok = F.col("ok") & (F.size("v") == d)
+    lengths = [r.d for r in read.where("ok").select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
+    out = read.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for d in lengths:
+        out = of_length(read.where(F.col("ok") & (F.size("v") == d)), d, threshold).unionByName(out)
+    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def of_length(read: DataFrame, d: int, threshold: float) -> DataFrame:
+    """(vec_id, n_links, component_id) of valid vectors (vec_id, v) of d numbers."""
+    spark = read.sparkSession
+    folder = shared_folder(spark)
     key = F.concat_ws(":", F.xxhash64("v"), F.xxhash64("v", F.lit("again")))
-    rows = read.select("vec_id", "v", F.when(ok, key).alias("key"))
-    grouped = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("m"), F.first("v").alias("v"))
+    rows = read.select("vec_id", "v", key.alias("key"))
+    grouped = rows.groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("m"), F.first("v").alias("v"))
     classes = save(grouped.withColumn("cid", F.monotonically_increasing_id()), f"{folder}/classes")
     n = classes.count()
     plan = plan_for(n, threshold)
@@ -223,6 +229,4 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     lookup = joined.join(named, "root").select("key", "m", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
     lookup = save(lookup, f"{folder}/lookup")
     counts = lookup.select("key", F.col("m").alias("n"))
-    linkable = lookup_join(rows.where("key is not null").select("vec_id", "key"), lookup.drop("m"), "key", counts, n)
-    alone = rows.where("key is null").select("vec_id", "key", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linkable.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return lookup_join(rows.select("vec_id", "key"), lookup.drop("m"), "key", counts, n).select("vec_id", "n_links", "component_id")

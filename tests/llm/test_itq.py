@@ -111,3 +111,11 @@ def test_sf_and_empty(spark):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert sorted(map(tuple, queries.op5_itq_near_duplicates(spark, sf).collect()), key=str) == brute(rows)
     assert itq.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_vectors_of_every_length_are_compared(spark):
+    rows = [(i, [1.0, 0.01 * i, 0.0] + [0.0] * 61) for i in range(3)]
+    rows += [(10, [3.0, 4.0]), (11, [3.0, 4.0]), (12, [3.0, 4.1]), (13, [-4.0, 3.0]), (14, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in itq.near_duplicates(df).collect()}
+    assert got == {0: (2, 0, True), 1: (2, 0, False), 2: (2, 0, False), 10: (2, 10, True), 11: (2, 10, False), 12: (2, 10, False), 13: (0, 13, True), 14: (0, 14, True)}
