@@ -10,8 +10,11 @@ counts merge in a second, small exchange. Nothing is pruned.
 Store: for each of P parts one file in the shared folder with sorted arrays of
 n-gram hashes (a table by the leading bits, then 32 bits for each entry) and their
 counts. Workers map the files into memory and look up whole batches at once, so a
-worker holds pages of what it reads and no copy of the model. The shared folder
-must be mounted as a file system; others are refused. A lookup of an n-gram that
+worker holds pages of what it reads and no copy of the model; tasks get the folder's
+name, and find the layout, the heavy words and the list of files in files too. A file
+that should be there and is not, as in a folder that isn't shared, raises. The folder
+must be mounted as a file system; others are refused, and so are 2**32 words or more.
+ A lookup of an n-gram that
 was never seen is mistaken for another's with a probability of about 16 / 2**32.
 
     p3(w|u,v) = (c - D) / S(u,v) + G(u,v) p2(w|v), p2 and p1 likewise with counts of
@@ -21,16 +24,19 @@ was never seen is mistaken for another's with a probability of about 16 / 2**32.
 Tokens: words of the lower-cased text (A-Z only), then one end. Defined results: a
 null or empty text is the end alone; a null id is never held out; repeated rows
 count as often as they occur; with nothing to learn from every probability is
-uniform over the unknown word (score 0); an empty table gives an empty one.
+uniform over the unknown word (score 0); an empty table gives an empty one. Texts of
+any length are read whole, two megabytes or one longer text at a time. Other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
+import mmap
 import os
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -39,7 +45,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import importable, save, shared_folder
+from tessera.llm.tables import discard, importable, save, shared_folder
 from tessera.llm.words import BY_SPACE, mix, slices, tokenize
 
 #: The hash of the end of a text, which is counted as a word.
@@ -47,7 +53,20 @@ END = np.uint64(0x7E57E2D0FACE0FF1)
 #: Tokens that a task holds before it packs them, and that a part should have.
 HELD = 3_000_000
 PART_TOKENS = 1_000_000
+#: Parts that one task should build, and that one file of the finished model holds.
+PARTS_PER_TASK, GROUP = 4, 64
+#: Of each kind of file: its arrays and their types.
+KINDS = {
+    "words": {"hash": "<u8"},
+    "two": {"two.table": "<u4", "two.keys": "<u4"},
+    "three": {"three.table": "<u4", "three.keys": "<u4", "context.table": "<u4", "context.keys": "<u4"},
+    "stats": {},
+}
+NUMBERS = {"words": ("count",), "two": ("two.count",), "three": ("three.count", *[f"context.{n}" for n in ("sum", "n1", "n2", "n3")]), "stats": ("sum", "n1", "n2", "n3", "left")}
+KINDS = {k: v | {x: t for n in NUMBERS[k] for x, t in ((n, "|u1"), (f"{n}.at", "<u4"), (f"{n}.many", "<i8"))} for k, v in KINDS.items()}
+KINDS["heavy"] = KINDS["two"]
 UNKNOWN = -1
+MOST_TASKS = 10_000
 
 
 def local_path(folder: str) -> str:
@@ -93,58 +112,75 @@ def unpack(data: bytes, arrays: int) -> list[np.ndarray]:
 
 
 def write_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
-    """Appears under its name when whole, so a task that runs again or twice does no harm."""
+    write_pieces(path, {n: (a.dtype.str, len(a), [a]) for n, a in arrays.items()})
+
+
+def write_pieces(path: str, arrays: dict[str, tuple[str, int, Iterable[np.ndarray]]]) -> None:
+    """Type, length and pieces of each array. The file appears under its name when whole, so a task that runs again or twice does no harm."""
     at, head = 0, {}
-    for name, a in arrays.items():
-        head[name] = [a.dtype.str, len(a), at]
-        at += -(-a.nbytes // 8) * 8
+    for name, (kind, n, _) in arrays.items():
+        head[name] = [kind, n, at]
+        at += -(-n * np.dtype(kind).itemsize // 8) * 8
     text = json.dumps(head).encode()
     text += b" " * (-(len(text) + 8) % 8)
     part = f"{path}.{uuid.uuid4().hex}"
     with open(part, "wb") as f:
         f.write(len(text).to_bytes(8, "little") + text)
-        for a in arrays.values():
-            f.write(a.tobytes() + b"\0" * (-a.nbytes % 8))
+        for kind, n, pieces in arrays.values():
+            for a in pieces:
+                f.write(np.ascontiguousarray(a, kind).data)
+            f.write(b"\0" * (-n * np.dtype(kind).itemsize % 8))
     os.replace(part, path)
 
 
-@lru_cache(maxsize=512)
+@lru_cache(maxsize=16_384)
 def read_arrays(path: str) -> dict[str, np.ndarray]:
     if not os.path.exists(path):
-        return {}
-    data = np.memmap(path, np.uint8, "r")
-    size = int.from_bytes(data[:8].tobytes(), "little")
-    head = json.loads(data[8 : 8 + size].tobytes())
-    out = {}
-    for name, (kind, n, at) in head.items():
-        kind = np.dtype(kind)
-        begin = 8 + size + at
-        out[name] = data[begin : begin + n * kind.itemsize].view(kind)
+        raise FileNotFoundError(f"{path} of the model is gone or not shared with this machine")
+    with open(path, "rb") as f:
+        data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    size = int.from_bytes(data[:8], "little")
+    return {name: np.frombuffer(data, kind, n, 8 + size + at) if n else np.zeros(0, kind) for name, (kind, n, at) in json.loads(data[8 : 8 + size]).items()}
+
+
+#: Numbers are stored as bytes; this one stands for any that is as large or larger, which are listed by place.
+MANY = 255
+
+
+def in_bytes(arrays: dict[str, np.ndarray], kind: str) -> dict[str, np.ndarray]:
+    out = dict(arrays)
+    for name in NUMBERS[kind]:
+        at = np.flatnonzero(arrays[name] >= MANY)
+        out |= {name: np.minimum(arrays[name], MANY).astype(np.uint8), f"{name}.at": at.astype(np.uint32), f"{name}.many": arrays[name][at].astype(np.int64)}
     return out
 
 
-def narrow(a: np.ndarray) -> np.ndarray:
-    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
+def number(arrays: dict[str, np.ndarray], name: str, places: np.ndarray) -> np.ndarray:
+    out = arrays[name][places].astype(np.int64)
+    if len(many := np.flatnonzero(out == MANY)):
+        out[many] = arrays[f"{name}.many"][np.searchsorted(arrays[f"{name}.at"], places[many])]
+    return out
 
 
-def hash_table(prefix: str, keys: np.ndarray, values: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Sorted hashes as a table by leading bits and 32 further bits, and values in their order."""
+def hash_table(prefix: str, keys: np.ndarray, values: dict[str, np.ndarray], bits: int | None = None) -> dict[str, np.ndarray]:
+    """Sorted hashes as a table by leading bits and 32 further bits, and numbers in their order."""
     order = np.argsort(keys)
     keys = keys[order]
-    bits = max(1, int(len(keys)).bit_length() - 5)
+    bits = bits or max(1, len(keys).bit_length() - 5)
     slots = (keys >> np.uint64(64 - bits)).astype(np.int64)
     rest = ((keys << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
     table = np.searchsorted(slots, np.arange((1 << bits) + 1)).astype(np.uint32)
-    return {f"{prefix}.table": table, f"{prefix}.keys": rest} | {f"{prefix}.{k}": narrow(v[order]) for k, v in values.items()}
+    return {f"{prefix}.table": table, f"{prefix}.keys": rest} | {f"{prefix}.{k}": v[order] for k, v in values.items()}
 
 
-def find(arrays: dict[str, np.ndarray], prefix: str, keys: np.ndarray) -> np.ndarray:
-    """The place of each key, or -1."""
-    if f"{prefix}.table" not in arrays or not len(keys) or not len(arrays[f"{prefix}.keys"]):
+def find(arrays: dict[str, np.ndarray], prefix: str, keys: np.ndarray, bits: int | None = None, local: np.ndarray | int = 0) -> np.ndarray:
+    """The place of each key, or -1; local: which of a file's parts a key belongs to."""
+    stored = arrays[f"{prefix}.keys"]
+    if not len(keys) or not len(stored):
         return np.full(len(keys), -1)
-    table, stored = arrays[f"{prefix}.table"], arrays[f"{prefix}.keys"]
-    bits = (len(table) - 1).bit_length() - 1
-    slot = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    table = arrays[f"{prefix}.table"]
+    bits = bits or (len(table) - 1).bit_length() - 1
+    slot = (keys >> np.uint64(64 - bits)).astype(np.int64) + (local << bits)
     rest = ((keys << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
     lo, end = table[slot].astype(np.int64), table[slot + 1].astype(np.int64)
     hi = end.copy()
@@ -156,6 +192,33 @@ def find(arrays: dict[str, np.ndarray], prefix: str, keys: np.ndarray) -> np.nda
     return np.where(found, lo, -1)
 
 
+def joined(pieces: list[dict[str, np.ndarray] | None], name: str, bits: int) -> Iterator[np.ndarray]:
+    """One array of a file of several parts: the parts' arrays end to end, places and tables shifted; None is a part without any."""
+    values = name.removesuffix(".at") if name.endswith(".at") else f"{name.removesuffix('.table')}.keys"
+    shift = 0
+    for x in pieces:
+        if name.endswith(".table"):
+            yield np.full(1 << bits, shift, np.uint32) if x is None else x[name][:-1] + np.uint32(shift)
+        elif x is not None:
+            yield x[name] + np.uint32(shift) if name.endswith(".at") else x[name]
+        if x is not None and name.endswith((".table", ".at")):
+            shift += len(x[values])
+    if name.endswith(".table"):
+        yield np.array([shift], np.uint32)
+
+
+def merge(path: str, pieces: list[str | None], names: dict[str, str], bits: int) -> None:
+    """Write a file of several parts and remove the parts' own files; nothing to do if an earlier run of the task has done so."""
+    if os.path.exists(path):
+        return
+    read = [read_arrays.__wrapped__(p) if p else None for p in pieces]
+    size = lambda n: sum(len(x) for x in joined(read, n, bits))
+    write_pieces(path, {n: (kind, size(n), joined(read, n, bits)) for n, kind in names.items()})
+    for p in pieces:
+        if p and os.path.exists(p):
+            os.unlink(p)
+
+
 def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A bijection of two ids to 64 bits."""
     return mix(a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64))
@@ -165,36 +228,58 @@ def triple_key(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return mix(pair_key(a, b) + c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-@dataclass
+@dataclass(frozen=True)
 class Layout:
-    """Where the model lies and how it is cut: what workers need to find their way."""
+    """Where the model lies and how it is cut: what workers need to find their way.
+
+    Parts are what a task builds at once; `group` of them are one file, so that a lookup
+    of many n-grams opens few files. The file `layout` has bases, the id of each part's
+    first word, and heavy, the sorted ids of heavy words.
+    """
 
     folder: str
     parts: int
-    bases: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    heavy: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    bits: int
+    words: int = 0
     tokens: int = 0
     texts: int = 0
+    group: int = 64
 
     @property
-    def words(self) -> int:
-        return int(self.bases[-1])
+    def bases(self) -> np.ndarray:
+        return read_arrays(f"{self.folder}/layout")["bases"]
+
+    @property
+    def heavy(self) -> np.ndarray:
+        return read_arrays(f"{self.folder}/layout")["heavy"]
 
     @property
     def start(self) -> int:
-        """The id of the start mark."""
+        """The id of the start mark, which is a part of its own behind the words'."""
         return self.words
 
     def path(self, kind: str, part: int) -> str:
-        return f"{self.folder}/{kind}-{part:06d}"
+        return f"{self.folder}/{kind}-{part:08d}"
+
+    def read(self, kind: str, group: int) -> dict[str, np.ndarray]:
+        return read_arrays(self.path(f"all-{kind}", group))
 
     def word_part(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes >> np.uint64(32)).astype(np.int64) * self.parts >> 32
 
+    def id_part(self, ids: np.ndarray) -> np.ndarray:
+        """The part of each word id."""
+        return np.where(ids == self.start, self.parts, np.searchsorted(self.bases, ids, "right") - 1)
+
+    def first_of(self, group: int) -> int:
+        """The id of a group's first word."""
+        return int(self.bases[min(group * self.group, self.parts)])
+
     def is_heavy(self, ids: np.ndarray) -> np.ndarray:
-        if not len(self.heavy):
+        heavy = self.heavy
+        if not len(heavy):
             return np.zeros(len(ids), bool)
-        return self.heavy[np.minimum(np.searchsorted(self.heavy, ids), len(self.heavy) - 1)] == ids
+        return heavy[np.minimum(np.searchsorted(heavy, ids), len(heavy) - 1)] == ids
 
     def part_of(self, middle: np.ndarray, side: np.ndarray) -> np.ndarray:
         """The part of (side, middle) contexts or (middle, side) continuations."""
@@ -205,29 +290,33 @@ class Layout:
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of sorted word hashes, or UNKNOWN."""
         out = np.full(len(hashes), UNKNOWN, np.int64)
-        cuts = np.searchsorted(self.word_part(hashes), np.arange(self.parts + 1))
-        for p in np.flatnonzero(np.diff(cuts)):
-            lo, hi = cuts[p], cuts[p + 1]
-            known = read_arrays(self.path("words", p)).get("hash")
-            if known is not None and len(known):
+        for g, lo, hi in stretches(self.word_part(hashes) // self.group):
+            known = self.read("words", g)["hash"]
+            if len(known):
                 at = np.minimum(np.searchsorted(known, hashes[lo:hi]), len(known) - 1)
-                out[lo:hi] = np.where(known[at] == hashes[lo:hi], at + self.bases[p], UNKNOWN)
+                out[lo:hi] = np.where(known[at] == hashes[lo:hi], at + self.first_of(g), UNKNOWN)
         return out
 
     def word_values(self, kind: str, names: tuple[str, ...], ids: np.ndarray) -> list[np.ndarray]:
-        """Values of sorted ids, 0 for UNKNOWN."""
+        """Values of sorted ids, 0 for UNKNOWN and for the start mark where a kind has none."""
         out = [np.zeros(len(ids), np.int64) for _ in names]
-        cuts = np.searchsorted(ids, [*self.bases, self.start + 1])
-        for p in range(self.parts + 1):
-            lo, hi = cuts[p], cuts[p + 1]
-            if hi > lo:
-                arrays = read_arrays(self.path(kind, p))
-                for o, name in zip(out, names):
-                    if name in arrays:
-                        o[lo:hi] = arrays[name][ids[lo:hi] - self.bases[p]]
+        known = int(np.searchsorted(ids, 0))
+        for g, lo, hi in stretches(self.id_part(ids[known:]) // self.group):
+            arrays, lo, hi = self.read(kind, g), lo + known, hi + known
+            at = ids[lo:hi] - self.first_of(g)
+            there = at < len(arrays[names[0]])
+            for o, name in zip(out, names):
+                o[lo:hi][there] = number(arrays, name, at[there])
         return out
 
 
+def stretches(parts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(part, first, end) of each run in sorted parts."""
+    begin = runs(parts)
+    for lo, hi in zip(begin, [*begin[1:], len(parts)]):
+        yield int(parts[lo]), int(lo), int(hi)
+
+
 def sequences(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts, each ending with END, and where each begins."""
     found, bounds = tokenize(texts, BY_SPACE)
@@ -291,14 +380,13 @@ def unigram_blocks(layout: Layout, b: np.ndarray, c: np.ndarray, counts: np.ndar
     for k, v in stats.items():
         columns[k][np.searchsorted(ids, b[begin])] = v
     columns["left"][np.searchsorted(ids, right)] = times
-    cuts = np.searchsorted(ids, [*layout.bases, layout.start + 1])
-    return [("word", int(p), pack(ids[cuts[p] : cuts[p + 1]], *[x[cuts[p] : cuts[p + 1]] for x in columns.values()]), None) for p in np.flatnonzero(np.diff(cuts))]
+    return [("word", p, pack(ids[lo:hi], *[x[lo:hi] for x in columns.values()]), None) for p, lo, hi in stretches(layout.id_part(ids))]
 
 
 def bigram_part(layout: Layout, kind: str, part: int, b: np.ndarray, c: np.ndarray, counts: np.ndarray) -> list[tuple]:
     """Store final continuation counts and pass on what they tell of single words."""
-    write_arrays(layout.path(kind, part), hash_table("two", pair_key(b, c), {"count": counts}))
-    return [("counts2", part, None, counts_of_counts(counts)), *unigram_blocks(layout, b, c, counts)]
+    write_arrays(layout.path(kind, part), in_bytes(hash_table("two", pair_key(b, c), {"count": counts}, layout.bits), "two"))
+    return [(f"counts2 {kind}", part, None, counts_of_counts(counts)), *unigram_blocks(layout, b, c, counts)]
 
 
 def trigram_part(layout: Layout, part: int, blocks: list[bytes]) -> list[tuple]:
@@ -311,10 +399,10 @@ def trigram_part(layout: Layout, part: int, blocks: list[bytes]) -> list[tuple]:
     ba, c = ba[begin], c[begin].astype(np.int64)
     b, a = (ba >> np.uint64(32)).astype(np.int64), (ba & np.uint64(0xFFFFFFFF)).astype(np.int64)
     context = runs(ba)
-    arrays = hash_table("three", triple_key(a, b, c), {"count": n})
-    arrays |= hash_table("context", pair_key(a[context], b[context]), context_stats(n, context))
-    write_arrays(layout.path("three", part), arrays)
-    out = [("counts3", part, None, counts_of_counts(n))]
+    arrays = hash_table("three", triple_key(a, b, c), {"count": n}, layout.bits)
+    arrays |= hash_table("context", pair_key(a[context], b[context]), context_stats(n, context), layout.bits)
+    write_arrays(layout.path("three", part), in_bytes(arrays, "three"))
+    out = [("counts3 three", part, None, counts_of_counts(n))]
     # Distinct left neighbours of (b, c); after the start mark, plain counts.
     order = np.lexsort((c, b))
     b, c, n = b[order], c[order], np.where(b[order] == layout.start, n[order], 1)
@@ -342,14 +430,14 @@ def heavy_part(layout: Layout, part: int, blocks: list[bytes]) -> list[tuple]:
 
 def word_part(layout: Layout, part: int, blocks: list[bytes]) -> list[tuple]:
     columns = [np.concatenate(x) for x in zip(*[unpack(d, 6) for d in blocks])]
-    base = layout.bases[part]
+    base = layout.bases[part] if part < layout.parts else layout.start
     size = int(layout.bases[part + 1] - base) if part < layout.parts else 1
     at = columns[0].astype(np.int64) - base
     names = ("sum", "n1", "n2", "n3", "left")
     totals = {k: np.bincount(at, v.astype(np.float64), size).astype(np.int64) for k, v in zip(names, columns[1:])}
-    write_arrays(layout.path("stats", part), {k: narrow(v) for k, v in totals.items()})
+    write_arrays(layout.path("stats", part), in_bytes(totals, "stats"))
     left = totals["left"]
-    return [("counts1", part, None, [*counts_of_counts(left), int((left > 2).sum()), int(left.sum())])]
+    return [("counts1 stats", part, None, [*counts_of_counts(left), int((left > 2).sum()), int(left.sum())])]
 
 
 def grouped(df: DataFrame, layout: Layout, work) -> DataFrame:
@@ -358,7 +446,13 @@ def grouped(df: DataFrame, layout: Layout, work) -> DataFrame:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         return out_table(work(layout, key[0].as_py(), table.column("data").to_pylist()))
 
-    return df.groupBy("part").applyInArrow(run, OUT)
+    return by_parts(df, layout.parts).groupBy("part").applyInArrow(run, OUT)
+
+
+def by_parts(df: DataFrame, parts: int) -> DataFrame:
+    """df dealt by part over a number of tasks that grows with the parts, so a task has a few of them at any size."""
+    tasks = -(-parts // PARTS_PER_TASK)
+    return df.repartition(tasks, "part") if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 def count_words(rows: DataFrame) -> DataFrame:
@@ -400,11 +494,9 @@ def trigram_blocks(rows: DataFrame, layout: Layout) -> DataFrame:
             ba, c = ba[begin], c[begin]
             to = layout.part_of((ba >> np.uint64(32)).astype(np.int64), (ba & np.uint64(0xFFFFFFFF)).astype(np.int64))
             order = np.argsort(to.astype(np.int32), kind="stable")
-            cuts = np.searchsorted(to[order], np.arange(layout.parts + 1))
             ba, c, n = ba[order], c[order], n[order]
-            parts = np.flatnonzero(np.diff(cuts))
-            data = [pack(ba[cuts[p] : cuts[p + 1]], c[cuts[p] : cuts[p + 1]], n[cuts[p] : cuts[p + 1]]) for p in parts]
-            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(data, pa.binary())], names=["part", "data"])
+            blocks = [(p, pack(ba[lo:hi], c[lo:hi], n[lo:hi])) for p, lo, hi in stretches(to[order])]
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in blocks], pa.int64()), pa.array([d for _, d in blocks], pa.binary())], names=["part", "data"])
 
         for batch in batches:
             texts = batch.column(0).to_pylist()
@@ -456,11 +548,12 @@ class Model:
         live = np.flatnonzero((b != UNKNOWN) & (c != UNKNOWN))
         heavy = lay.is_heavy(b[live])
         for kind, rows in (("two", live[~heavy]), ("heavy", live[heavy])):
-            for p, at in by_part(lay.part_of(b[rows], c[rows]), rows, lay.parts):
-                arrays = read_arrays(lay.path(kind, p))
-                place = find(arrays, prefix, pair_key(b[at], c[at]))
+            part = lay.part_of(b[rows], c[rows])
+            for g, x in by_group(part // lay.group):
+                at, arrays = rows[x], lay.read(kind, g)
+                place = find(arrays, prefix, pair_key(b[at], c[at]), lay.bits, part[x] % lay.group)
                 hit = place >= 0
-                out[at[hit]] = arrays[f"{prefix}.count"][place[hit]] if hit.any() else 0
+                out[at[hit]] = number(arrays, f"{prefix}.count", place[hit])
         return out
 
     def counts3(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -468,26 +561,25 @@ class Model:
         lay, out = self.layout, np.zeros(len(a), np.int64)
         stats = [np.zeros(len(a), np.int64) for _ in range(4)]
         live = np.flatnonzero((a != UNKNOWN) & (b != UNKNOWN))
-        for p, at in by_part(lay.part_of(b[live], a[live]), live, lay.parts):
-            arrays = read_arrays(lay.path("three", p))
-            place = find(arrays, "context", pair_key(a[at], b[at]))
-            at, place = at[place >= 0], place[place >= 0]
+        part = lay.part_of(b[live], a[live])
+        for g, x in by_group(part // lay.group):
+            at, local, arrays = live[x], part[x] % lay.group, lay.read("three", g)
+            place = find(arrays, "context", pair_key(a[at], b[at]), lay.bits, local)
+            at, local, place = (v[place >= 0] for v in (at, local, place))
             for s, name in zip(stats, ("sum", "n1", "n2", "n3")):
-                if len(at):
-                    s[at] = arrays[f"context.{name}"][place]
-            at = at[c[at] != UNKNOWN]
-            place = find(arrays, "three", triple_key(a[at], b[at], c[at]))
+                s[at] = number(arrays, f"context.{name}", place)
+            at, local = (v[c[at] != UNKNOWN] for v in (at, local))
+            place = find(arrays, "three", triple_key(a[at], b[at], c[at]), lay.bits, local)
             hit = place >= 0
-            if hit.any():
-                out[at[hit]] = arrays["three.count"][place[hit]]
+            out[at[hit]] = number(arrays, "three.count", place[hit])
         return out, stats
 
 
-def by_part(parts: np.ndarray, rows: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(parts.astype(np.int32), kind="stable")
-    cuts = np.searchsorted(parts[order], np.arange(n + 1))
-    for p in np.flatnonzero(np.diff(cuts)):
-        yield int(p), rows[order[cuts[p] : cuts[p + 1]]]
+def by_group(groups: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each group, and its places."""
+    order = np.argsort(groups.astype(np.int32), kind="stable")
+    for g, lo, hi in stretches(groups[order]):
+        yield g, order[lo:hi]
 
 
 def discounts_of(t: list[int]) -> list[float]:
@@ -509,44 +601,80 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text") -> Model:
     rows = docs.where(learn).select(F.col(text_col).cast("string").cast("binary").alias("t"))
     size, texts = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)), F.count("*")).first()
     parts = max(4, 1 << (int(size / 6 / PART_TOKENS)).bit_length())
-    layout = Layout(f"{folder}/model", parts, np.zeros(parts + 1, np.int64), texts=texts)
+    layout = Layout(f"{folder}/model", parts, max(1, PART_TOKENS.bit_length() - 5), texts=texts, group=GROUP)
     if not texts:
+        write_arrays(f"{layout.folder}/layout", {"bases": np.zeros(parts + 1, np.int64), "heavy": np.zeros(0, np.int64)})
+        for kind in KINDS:
+            merged(spark, layout, kind, spark.createDataFrame([], "part long"))
         return Model(layout, [[0.5, 1.0, 1.5]] * 3)
 
     def store_words(key: tuple, table: pa.Table) -> pa.Table:
         h, n = table.column("hash").to_numpy().view(np.uint64), table.column("n").to_numpy()
         order = np.argsort(h)
-        write_arrays(layout.path("words", key[0].as_py()), {"hash": h[order], "count": narrow(n[order])})
+        write_arrays(layout.path("words", key[0].as_py()), in_bytes({"hash": h[order], "count": n[order]}, "words"))
         return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "words": pa.array([len(h)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64())})
 
     part = (F.shiftrightunsigned("hash", 32) * F.lit(parts) / F.lit(float(1 << 32))).cast("long")
-    stored = count_words(rows).select("hash", "n", part.alias("part")).groupBy("part").applyInArrow(store_words, "part long, words long, tokens long")
-    sizes = {r.part: r for r in save(stored, f"{shared}/words").collect()}
-    layout.bases = np.concatenate([[0], np.cumsum([sizes[p].words if p in sizes else 0 for p in range(parts)])]).astype(np.int64)
-    layout.tokens = sum(r.tokens for r in sizes.values())
-    layout.heavy = heavy_words(layout, layout.tokens / (4 * parts))
+    counted = count_words(rows).select("hash", "n", part.alias("part"))
+    stored = save(by_parts(counted, parts).groupBy("part").applyInArrow(store_words, "part long, words long, tokens long"), f"{shared}/words")
+    merged(spark, layout, "words", stored)
+    sizes = stored.toPandas()  # three numbers for each part
+    held = np.zeros(parts, np.int64)
+    held[sizes.part] = sizes.words
+    layout = Layout(layout.folder, parts, layout.bits, int(held.sum()), int(sizes.tokens.sum()), texts, layout.group)
+    if layout.words >= (1 << 32) - 1:
+        raise ValueError(f"{layout.words} words: ids have 32 bits")
+    bases = np.concatenate([[0], np.cumsum(held)])
+    write_arrays(f"{layout.folder}/layout", {"bases": bases, "heavy": heavy_words(spark, layout, bases)})
 
     made = save(grouped(trigram_blocks(rows, layout), layout, trigram_part), f"{shared}/trigrams")
+    merged(spark, layout, "three", made.where("kind = 'counts3 three'"))
+    merged(spark, layout, "two", made.where("kind = 'counts2 two'"))
     more = save(grouped(made.where("kind = 'heavy'").select("part", "data"), layout, heavy_part), f"{shared}/heavy")
+    merged(spark, layout, "heavy", more.where("kind = 'counts2 heavy'"))
     both = made.unionByName(more)
     last = save(grouped(both.where("kind = 'word'").select("part", "data"), layout, word_part), f"{shared}/single")
+    merged(spark, layout, "stats", last.where("kind = 'counts1 stats'"))
     totals = {}
-    for r in both.unionByName(last).where("kind like 'counts%'").groupBy("kind").agg(*[F.sum(F.get("numbers", F.lit(i))).alias(f"x{i}") for i in range(6)]).collect():
+    for r in both.unionByName(last).where("kind like 'counts%'").groupBy(F.substring("kind", 1, 7).alias("kind")).agg(*[F.sum(F.get("numbers", F.lit(i))).alias(f"x{i}") for i in range(6)]).collect():
         totals[r.kind] = [r[f"x{i}"] for i in range(6)]
+    for name in ("words", "trigrams", "heavy", "single"):
+        discard(spark, f"{shared}/{name}")
     discounts = [discounts_of(totals.get(f"counts{k}", [0] * 4)) for k in (1, 2, 3)]
     t1, t2, _, _, t3, total = totals["counts1"]
     mass = (discounts[0][0] * t1 + discounts[0][1] * t2 + discounts[0][2] * t3) / total
     return Model(layout, discounts, total, mass)
 
 
-def heavy_words(layout: Layout, least: float) -> np.ndarray:
-    """Sorted ids of words with over `least` tokens (fewer than tokens / least), and the start mark."""
-    out = [np.array([layout.start])]
-    for p in range(layout.parts):
-        arrays = read_arrays(layout.path("words", p))
-        if arrays:
-            out.append(np.flatnonzero(arrays["count"] > least) + layout.bases[p])
-    return np.sort(np.concatenate(out)).astype(np.int64)
+def merged(spark: SparkSession, layout: Layout, kind: str, made: DataFrame) -> None:
+    """Join the files of the parts in `made` into one for each group, empty ones included, so that every file must be there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group, has in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts = range(group * layout.group, min((group + 1) * layout.group, layout.parts + 1))
+                merge(layout.path(f"all-{kind}", group), [layout.path(kind, p) if p in set(has or ()) else None for p in parts], KINDS[kind], layout.bits)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["group"])
+
+    groups = layout.parts // layout.group + 1
+    has = made.groupBy(F.floor(F.col("part") / layout.group).cast("long").alias("group")).agg(F.collect_set("part").alias("parts"))
+    every = spark.range(0, groups, 1, 1).withColumnRenamed("id", "group").join(has, "group", "left").repartition(min(groups, MOST_TASKS), "group")
+    every.mapInArrow(run, "group long").write.format("noop").mode("overwrite").save()
+
+
+def heavy_words(spark: SparkSession, layout: Layout, bases: np.ndarray) -> np.ndarray:
+    """Sorted ids of words with over 1 / (4 P) of all tokens, fewer than 4 P, and of the start mark; each group names its own."""
+    least, groups = layout.tokens / (4 * layout.parts), layout.parts // layout.group + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g in batch.column(0).to_pylist():
+                arrays = layout.read("words", g)
+                found = np.flatnonzero(number(arrays, "count", np.arange(len(arrays["count"]))) > least)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), g)), pa.array(found)], names=["g", "at"])
+
+    found = spark.range(0, groups, 1, min(groups, MOST_TASKS)).mapInArrow(run, "g long, at long").toPandas()
+    return np.sort(np.append(bases[found.g.to_numpy(np.int64) * layout.group] + found["at"].to_numpy(np.int64), layout.start)).astype(np.int64)
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -121,3 +122,39 @@ def test_blocks_and_tables_round_trip():
     arrays = lm.hash_table("x", keys, {"count": b})
     place = lm.find(arrays, "x", np.concatenate([keys, lm.mix(a + np.uint64(1))]))
     assert (arrays["x.count"][place[:1000]] == b).all() and (place[1000:] == -1).all()
+
+
+def test_a_missing_part_raises(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PART_TOKENS", 100)
+    df = spark.createDataFrame([(i, f"a b c{i} d{i % 7} e") for i in range(300)], "doc_id long, text string")
+    model = lm.fit(df, lm.F.lit(True))
+    kept = lm.scored(df, model).collect()
+    path = model.layout.path("all-three", 0)
+    os.rename(path, path + ".gone")
+    moved = lm.Model(lm.Layout(model.layout.folder + "/.", *[getattr(model.layout, x) for x in ("parts", "bits", "words", "tokens", "texts", "group")]), model.discounts, model.left_sum, model.left_mass)
+    with pytest.raises(Exception, match="gone or not shared"):
+        lm.scored(df, moved).collect()
+    os.rename(path + ".gone", path)
+    assert sorted(lm.scored(df, moved).collect()) == sorted(kept)
+
+
+def test_too_many_words_are_refused(spark, monkeypatch):
+    df = spark.createDataFrame([(0, "a b c")], "doc_id long, text string")
+    whole = lm.Layout
+    monkeypatch.setattr(lm, "Layout", lambda folder, parts, bits, words=0, *rest, **more: whole(folder, parts, bits, words << 32, *rest, **more))
+    with pytest.raises(ValueError, match="32 bits"):
+        lm.fit(df, lm.F.lit(True))
+
+
+def test_parts_of_several_groups(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(lm, "PART_TOKENS", 60)
+    monkeypatch.setattr(lm, "GROUP", 4)
+    docs = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, 30) if x < 2000) + " the" * 300) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = lm.fit(df, lm.F.lit(True))
+    assert model.layout.parts >= 32 and not [f for f in os.listdir(model.layout.folder) if not f.startswith(("all-", "layout", ".all-", ".layout"))]
+    plain = Plain([t for _, t in docs])
+    for r in lm.scored(df, model).collect():
+        assert r.score == pytest.approx(plain.score(dict(docs)[r.doc_id]), rel=1e-6)
+        assert r.base_score == pytest.approx(plain.base(dict(docs)[r.doc_id]), rel=1e-9)
