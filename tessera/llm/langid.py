@@ -7,17 +7,22 @@ the word itself; and membership in each language's lexicon of frequent training
 words. Transitions between neighbouring words are learned with the rest by maximum
 conditional likelihood on windows of WINDOW words, a share of which splice two
 languages, as code-switched text does. Forward-backward labels every word of every
-whole text, window by window; a document's language is the one with the largest
+whole text as one chain; a document's language is the one with the largest
 sum of word marginals, its score the mean marginal of that language.
 
+A chain is worked through in windows side by side: each window's product of transition
+and emission matrices carries the messages over to its neighbours, so the result does
+not depend on WINDOW, and a text of any length is labelled exactly.
+
 Training uses at most `per_language` documents of each language, drawn by a hash
-of the id, none longer than LONGEST characters (documented bounds; prediction has
-none). Everything else is one pass without a shuffle.
+of the id, none longer than `longest` characters (documented bounds; prediction has
+none), and all their windows. Everything else is one pass without a shuffle.
 
 Defined results: `und` with score 0 for a null text or one without a letter, and
 for all texts if there is nothing to learn from; rows with a null id are never
 held out and never learned from; repeated rows get equal results; the language,
-source and id are no inputs of a prediction; an empty table gives an empty one.
+source and id are no inputs of a prediction; an empty table gives an empty one; other
+columns are passed on or not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.tables import free_name, importable
@@ -35,9 +40,9 @@ from tessera.llm.words import hashes, mix, separators, slices, spans
 
 FEATURES = 1 << 16
 WINDOW = 128
-LONGEST = 40_000
-MOST_LANGUAGES = 200
 LEXICON = 300
+#: Windows whose scores are held at once.
+BATCH = 1000
 #: Everything but a-z and bytes of non-ASCII characters.
 BY_LETTERS = separators((0x00, 0x60), (0x7B, 0x7F))
 
@@ -123,11 +128,15 @@ def windows(bounds: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndar
     return first, np.minimum(size, bounds[1:][owner] - first), owner
 
 
-def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marginals(
+    scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None, train: bool = True
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward over padded windows.
 
-    scores: (windows, steps, languages). Returns word marginals, expected transition
-    counts, and the log-likelihood's normaliser of each window.
+    scores: (windows, steps, languages). before: the weights of the languages of each window's
+    first word, by what precedes it (exp(start) if nothing does); after: those of its last
+    word, by what follows. Returns word marginals and, in training, expected transition
+    counts and the log-likelihood's normaliser of each window.
     """
     n, steps, _ = scores.shape
     top = scores.max(axis=2, keepdims=True)
@@ -136,13 +145,13 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray,
     live = np.arange(steps)[None, :] < lengths[:, None]
     ahead = np.empty_like(p)
     scale = np.ones((n, steps), p.dtype)
-    state = p[:, 0] * np.exp(start)
+    state = p[:, 0] * (np.exp(start) if before is None else before)
     for t in range(steps):
         if t:
             state = np.where(live[:, t, None], (ahead[:, t - 1] @ move) * p[:, t], ahead[:, t - 1])
         scale[:, t] = state.sum(axis=1)
         ahead[:, t] = state = state / scale[:, t, None]
-    behind = np.ones_like(ahead[:, 0])
+    behind = np.ones_like(ahead[:, 0]) if after is None else after.astype(p.dtype)
     out = np.empty_like(p)
     pairs = np.zeros_like(transitions)
     for t in range(steps - 1, -1, -1):
@@ -152,13 +161,67 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray,
             alive = live[:, t, None]
             weighted = p[:, t] * behind
             back = weighted @ move.T
-            joint = (ahead[:, t - 1] * alive).T @ (weighted / np.maximum((ahead[:, t - 1] * back).sum(axis=1, keepdims=True), 1e-30))
-            pairs += joint * move
+            if train:
+                joint = (ahead[:, t - 1] * alive).T @ (weighted / np.maximum((ahead[:, t - 1] * back).sum(axis=1, keepdims=True), 1e-30))
+                pairs += joint * move
             behind = np.where(alive, back / np.maximum(back.max(axis=1, keepdims=True), 1e-30), behind)
     logs = np.where(live, np.log(scale) + top[:, :, 0], 0).sum(axis=1)
     return out * live[:, :, None], pairs, logs
 
 
+def transfers(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """(windows, languages, languages): from the word before a window to its last word, each up to a factor."""
+    n, steps, k = scores.shape
+    p, move = np.exp(scores - scores.max(axis=2, keepdims=True)), np.exp(transitions)
+    state = np.repeat(np.eye(k, dtype=p.dtype)[None], n, axis=0)
+    for t in range(steps):
+        step = (state @ move) * p[:, t, None, :]
+        step /= step.max(axis=(1, 2), keepdims=True)
+        state = np.where((t < lengths)[:, None, None], step, state)
+    return state
+
+
+def messages(first: np.ndarray, lengths: np.ndarray, owner: np.ndarray, which: np.ndarray, scores: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """What the rest of each window's text says of its first and of its last word."""
+    n, k, move = len(first), len(model.languages), np.exp(model.transitions)
+    before, after = np.repeat(np.exp(model.start)[None], n, axis=0), np.ones((n, k), np.float32)
+    later = np.flatnonzero(np.append(False, owner[1:] == owner[:-1]))
+    if not len(later):
+        return before, after
+    carry = np.empty((n, k, k), np.float32)
+    for lo in range(0, len(later), BATCH):
+        at = later[lo : lo + BATCH]
+        carry[at] = transfers(scores[padded(first[at], lengths[at], which)], lengths[at], model.transitions)
+    opening = np.setdiff1d(later - 1, later)
+    ends = np.ones((n, k), np.float32)
+    for lo in range(0, len(opening), BATCH):
+        at = opening[lo : lo + BATCH]
+        ends[at] = last_states(scores[padded(first[at], lengths[at], which)], lengths[at], model)
+    rank = np.arange(n) - np.searchsorted(owner, owner)
+    order = later[np.argsort(rank[later], kind="stable")]
+    cuts = np.searchsorted(rank[order], np.arange(1, rank.max() + 2))
+    for lo, hi in zip(cuts, cuts[1:]):
+        at = order[lo:hi]
+        before[at] = ends[at - 1] @ move
+        state = np.einsum("ni,nij->nj", ends[at - 1], carry[at])
+        ends[at] = state / state.max(axis=1, keepdims=True)
+    for lo, hi in reversed(list(zip(cuts, cuts[1:]))):
+        at = order[lo:hi]
+        state = np.einsum("nij,nj->ni", carry[at], after[at])
+        after[at - 1] = state / state.max(axis=1, keepdims=True)
+    return before, after
+
+
+def last_states(scores: np.ndarray, lengths: np.ndarray, model: Model) -> np.ndarray:
+    """Forward weights of each window's last word, for windows that begin a text."""
+    p, move = np.exp(scores - scores.max(axis=2, keepdims=True)), np.exp(model.transitions)
+    state = p[:, 0] * np.exp(model.start)
+    for t in range(1, p.shape[1]):
+        step = (state @ move) * p[:, t]
+        state = np.where((t < lengths)[:, None], step / step.max(axis=1, keepdims=True), state)
+    return state
+
+
 def padded(first: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
     """Distinct-word numbers of each window; places beyond its end repeat some word and are masked by length."""
     steps = int(lengths.max(initial=1))
@@ -166,21 +229,19 @@ def padded(first: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndar
     return which[np.minimum(at, len(which) - 1)]
 
 
-def train(rows: list[tuple[bytes, str]], rounds: int = 40, spliced: float = 0.3, seed: int = 5, rate: float = 0.1, decay: float = 1e-5, most_windows: int = 1500) -> Model:
-    """Maximise the conditional likelihood of (text, language) rows by Adam over all windows."""
+def train(rows: list[tuple[bytes, str]], rounds: int = 40, spliced: float = 0.3, seed: int = 5, rate: float = 0.1, decay: float = 1e-5) -> Model:
+    """Maximise the conditional likelihood of (text, language) rows by Adam over all windows, BATCH of them at a time."""
     languages = sorted({lang for _, lang in rows})
     k, rng = len(languages), np.random.default_rng(seed)
     words = read_words([t for t, _ in rows])
     first, lengths, owner = windows(words.bounds)
-    if len(first) > most_windows:
-        kept = np.sort(rng.permutation(len(first))[:most_windows])
-        first, lengths, owner = first[kept], lengths[kept], owner[kept]
-    label = np.array([languages.index(lang) for _, lang in rows])[owner] if len(rows) else np.zeros(0, int)
+    number_of = {lang: i for i, lang in enumerate(languages)}
+    label = np.array([number_of[lang] for _, lang in rows])[owner] if len(rows) else np.zeros(0, int)
     empty = Model(languages, np.zeros((FEATURES, k), np.float32), np.zeros((k, k), np.float32), np.zeros(k, np.float32), np.zeros(0, np.uint64), np.zeros((0, k), np.float32), np.zeros((k, k), np.float32))
     if not len(first):
         return empty
-    number = padded(first, lengths, words.which)
-    gold = np.repeat(label[:, None], number.shape[1], axis=1)
+    number = padded(first, lengths, words.which).astype(np.int32)
+    gold = np.repeat(label[:, None], number.shape[1], axis=1).astype(np.int16)
     for i in np.flatnonzero(rng.random(len(first)) < spliced):
         j = rng.integers(len(first))
         if label[i] != label[j] and min(lengths[i], lengths[j]) > 1:
@@ -189,9 +250,9 @@ def train(rows: list[tuple[bytes, str]], rounds: int = 40, spliced: float = 0.3,
             number[i, cut:end], gold[i, cut:end], lengths[i] = number[j, cut:end], label[j], end
     live = np.arange(number.shape[1])[None, :] < lengths[:, None]
     used = np.unique(number[live])
-    number = np.minimum(np.searchsorted(used, number), len(used) - 1)
+    number = np.minimum(np.searchsorted(used, number), len(used) - 1).astype(np.int32)
     words = Words(words.data, words.starts[used], words.ends[used], words.hashes[used], number, words.bounds)
-    counts = np.bincount(number[live] * k + gold[live], minlength=len(words.hashes) * k).reshape(-1, k)
+    counts = np.bincount(number[live] * np.int64(k) + gold[live], minlength=len(words.hashes) * k).reshape(-1, k)
     members = np.zeros((len(words.hashes), k), np.float32)
     for lang in range(k):
         members[np.argsort(-counts[:, lang], kind="stable")[:LEXICON], lang] = 1
@@ -205,20 +266,26 @@ def train(rows: list[tuple[bytes, str]], rounds: int = 40, spliced: float = 0.3,
     values = [np.zeros(s, np.float64) for s in shapes]
     moments, squares = [np.zeros(s) for s in shapes], [np.zeros(s) for s in shapes]
     total = live.sum()
-    gold_pairs = np.bincount((gold[:, :-1] * k + gold[:, 1:])[live[:, 1:]], minlength=k * k).reshape(k, k)
+    gold_pairs = np.bincount((gold[:, :-1].astype(np.int64) * k + gold[:, 1:])[live[:, 1:]], minlength=k * k).reshape(k, k)
     gold_start = np.bincount(gold[:, 0], minlength=k)
-    onehot = np.eye(k, dtype=np.float32)[gold] * live[:, :, None]
+    unit = np.eye(k, dtype=np.float32)
     for step in range(1, rounds + 1):
         weights, transitions, start, lexical = values
         word_scores = np.add.reduceat(weights.astype(np.float32)[ids], begin, axis=0) + members @ lexical.astype(np.float32)
-        post, pairs, _ = marginals(word_scores[number], lengths, transitions.astype(np.float32), start.astype(np.float32))
-        gap = (onehot - post).reshape(-1, k)
-        by_word = np.stack([np.bincount(number.ravel(), gap[:, c], len(per_word)) for c in range(k)], axis=1)
+        by_word, pairs, starts = np.zeros((len(per_word), k)), np.zeros((k, k)), np.zeros(k)
+        for lo in range(0, len(number), BATCH):
+            at = slice(lo, lo + BATCH)
+            post, joint, _ = marginals(word_scores[number[at]], lengths[at], transitions.astype(np.float32), start.astype(np.float32))
+            gap = (unit[gold[at]] * live[at][:, :, None] - post).reshape(-1, k)
+            for c in range(k):
+                by_word[:, c] += np.bincount(number[at].ravel(), gap[:, c], len(per_word))
+            pairs += joint
+            starts += post[:, 0].sum(axis=0)
         spread = by_word.astype(np.float32)[feature_owner]
         grads = [
             np.stack([np.bincount(ids, spread[:, c], FEATURES) for c in range(k)], axis=1) / total - decay * weights,
             (gold_pairs - pairs) / total - decay * transitions,
-            (gold_start - post[:, 0].sum(axis=0)) / total - decay * start,
+            (gold_start - starts) / total - decay * start,
             members.T @ by_word / total - decay * lexical,
         ]
         for v, g, m, s in zip(values, grads, moments, squares):
@@ -229,17 +296,19 @@ def train(rows: list[tuple[bytes, str]], rounds: int = 40, spliced: float = 0.3,
     return Model(languages, *[v.astype(np.float32) for v in values[:3]], words.hashes[kept], members[kept], values[3].astype(np.float32))
 
 
-def label_words(texts: list[bytes | None], model: Model) -> tuple[np.ndarray, np.ndarray]:
+def label_words(texts: list[bytes | None], model: Model, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of every running word, and where each text's words begin."""
     words = read_words(texts)
-    first, lengths, _ = windows(words.bounds)
+    first, lengths, owner = windows(words.bounds, size)
     out = np.zeros((len(words.which), len(model.languages)), np.float32)
     if not len(first):
         return out, words.bounds
     scores = model.emissions(words)
-    for lo in range(0, len(first), 2000):
-        f, n = first[lo : lo + 2000], lengths[lo : lo + 2000]
-        post, _, _ = marginals(scores[padded(f, n, words.which)], n, model.transitions, model.start)
+    before, after = messages(first, lengths, owner, words.which, scores, model)
+    for lo in range(0, len(first), BATCH):
+        at = slice(lo, lo + BATCH)
+        f, n = first[at], lengths[at]
+        post, _, _ = marginals(scores[padded(f, n, words.which)], n, model.transitions, model.start, before[at], after[at], train=False)
         live = np.arange(post.shape[1])[None, :] < n[:, None]
         out[(f[:, None] + np.arange(post.shape[1])[None, :])[live]] = post[live]
     return out, words.bounds
@@ -259,17 +328,21 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def fit(docs: DataFrame, learn: Column, per_language: int = 150, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
-    """Learn from rows for which learn holds, at most per_language of each language."""
-    rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).cast("string").alias("l"), F.lower(F.col(text_col).cast("string")).cast("binary").alias("t"), learn.alias("ok"))
-    rows = rows.where(F.col("ok") & F.col("i").isNotNull() & F.col("l").isNotNull() & F.col("t").isNotNull() & (F.length("t") <= LONGEST))
-    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(MOST_LANGUAGES).collect()}
-    if not counts:
-        return train([])
+def fit(docs: DataFrame, learn: Column, per_language: int = 150, longest: int = 40_000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
+    """Learn from rows for which learn holds, at most per_language of each language, of up to `longest` characters.
+
+    The languages' shares come from one count, so that few more rows than needed are drawn
+    before each language's are numbered.
+    """
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).cast("string").alias("l"), text.alias("s"), learn.alias("ok"))
+    rows = rows.where(F.col("ok") & F.col("i").isNotNull() & F.col("l").isNotNull() & F.col("s").isNotNull() & (F.length("s") <= longest))
     draw = F.pmod(F.xxhash64("i", F.lit("langid")), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    shares = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, per_language / n))])
-    sample = rows.where(draw < F.coalesce(shares[F.col("l")], F.lit(0.0))).select("l", "t", draw.alias("d"), "i").orderBy("d", "i").limit(2 * per_language * len(counts))
-    return train([(bytes(r.t), r.l) for r in sorted(sample.collect(), key=lambda r: (r.d, r.i, bytes(r.t)))])
+    share = F.least(F.lit(1.0), (2 * per_language + 50) / F.col("n"))
+    drawn = rows.select("l", "s", "i", draw.alias("d")).join(F.broadcast(rows.groupBy("l").agg(F.count("*").alias("n"))), "l").where(F.col("d") <= share)
+    sample = drawn.withColumn("place", F.row_number().over(Window.partitionBy("l").orderBy("d", "i", F.xxhash64("s"), "s"))).where(F.col("place") <= per_language)
+    found = sample.select("l", "place", F.lower("s").cast("binary").alias("t")).collect()
+    return train([(bytes(r.t), r.l) for r in sorted(found, key=lambda r: (r.l, r.place))])
 
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFrame, str]:

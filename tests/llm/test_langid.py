@@ -1,4 +1,6 @@
 import itertools
+import math
+import re
 import zlib
 
 import numpy as np
@@ -84,3 +86,75 @@ def test_edge_cases(spark):
     assert {r.lang_pred for r in nothing} == {"und"}
     kept = langid.accepted(df, langid.fit(df, langid.F.lit(True)))
     assert kept.columns == df.columns and kept.where("doc_id in (100, 101, 102, 105)").count() == 0
+
+
+def plain_posterior(text, model):
+    """Marginals of each word by the definition: one chain over the whole text, features and sums word by word."""
+    words = re.findall(r"[a-z\x80-\xff]+", text.lower().encode().decode("latin-1"))
+    k, memory = len(model.languages), {}
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    def emission(word):
+        if word not in memory:
+            marked = [1, *word.encode("latin-1"), 2]
+            ids = []
+            for n in range(1, 5):
+                for at in range(len(marked) - n + 1):
+                    gram = n
+                    for b in marked[at : at + n]:
+                        gram = gram << 8 | b
+                    ids.append(mixed(gram & mask) % langid.FEATURES)
+            own = int(langid.read_words([word.encode("latin-1")]).hashes[0])
+            ids.append(mixed(own ^ 0xA5A5) % langid.FEATURES)
+            listed = [model.members[i] for i, h in enumerate(model.lexicon) if int(h) == own]
+            lexical = listed[0] @ model.lexicon_weights if listed else np.zeros(k)
+            memory[word] = [math.fsum(float(model.weights[i, c]) for i in ids) + float(lexical[c]) for c in range(k)]
+        return memory[word]
+
+    def normal(x):
+        return [v / sum(x) for v in x]
+
+    scores = [emission(w) for w in words]
+    p = [[math.exp(v - max(s)) for v in s] for s in scores]
+    move = [[math.exp(float(v)) for v in row] for row in model.transitions]
+    ahead = [normal([math.exp(float(model.start[c])) * p[0][c] for c in range(k)])]
+    for t in range(1, len(words)):
+        ahead.append(normal([sum(ahead[-1][b] * move[b][c] for b in range(k)) * p[t][c] for c in range(k)]))
+    behind = [[1.0] * k]
+    for t in range(len(words) - 1, 0, -1):
+        behind.append(normal([sum(move[c][b] * p[t][b] * behind[-1][b] for b in range(k)) for c in range(k)]))
+    return [normal([a * b for a, b in zip(x, y)]) for x, y in zip(ahead, reversed(behind))]
+
+
+def test_query_against_a_plain_version(spark, rows):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs, ~langid.held_out(docs.doc_id, 3, 1))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    long = sorted((r for r in rows if r.lang_pred != "und"), key=lambda r: -r.words)
+    for r in [*long[:2], *long[200:900:35], *long[-5:]]:
+        post = np.array(plain_posterior(texts[r.doc_id], model))
+        assert r.words == len(post) and r.lang_pred == model.languages[post.sum(axis=0).argmax()]
+        assert r.score == pytest.approx(post.sum(axis=0).max() / len(post), abs=2e-4)
+
+
+def test_labels_do_not_depend_on_the_window(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs, langid.F.lit(True), 40)
+    texts = [r.text.lower().encode() for r in docs.where("length(text) between 500 and 4000").orderBy("doc_id").limit(40).collect()]
+    texts += [b"", None, b"1 2", b"one", b" ".join(texts[:20])]
+    whole, bounds = langid.label_words(texts, model, 1 << 20)
+    for size in (1, 2, 7, 128):
+        assert np.allclose(langid.label_words(texts, model, size)[0], whole, atol=1e-4)
+
+
+def test_no_language_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(langid, "FEATURES", 1 << 8)
+    rows = [(i, f"word{i} of{i % 300}", f"l{i % 300:03}") for i in range(900)] + [(1000 + i, "common words here " * 300, "big") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, langid.F.lit(True), 2)
+    assert len(model.languages) == 301
