@@ -1,16 +1,24 @@
 """Rule-based checks of an answer, as columns: struct<applies, passed, reason>.
 
 Rules are registered by name in a fixed order; a rule that doesn't apply counts as
-neither passed nor failed in rates.
+neither passed nor failed in rates. Counting the grams of an answer by built-in
+functions would take either a shuffle of all grams or an interpreted loop for each
+row, so that one step is an Arrow function over whole batches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import lexicon, numbers, text
 from tessera.functions.binding import let, once
+from tessera.sources.shared import importable
 
 VERSION = "1"
 # The rules and the reasons to reject, in the order in which they are reported.
@@ -60,52 +68,58 @@ def clean_stop_rule(stopped: Column, new_tokens: Column, limit: Column) -> Colum
     )
 
 
-def most_common(items: Column) -> Column:
-    """struct<n, item> of the commonest item, the first seen of equals; null for an empty array.
+def commonest(lists: pa.ListArray, width: int) -> pa.StructArray:
+    """struct<n, item> of each list's commonest run of `width` strings, joined by spaces: the first seen of equals; n is 0 without one.
 
-    Sorted by item and position, equal items stand together and each run's first
-    element has its earliest position.
+    All lists at once: strings become numbers, runs become one number each by ranking
+    pairs of numbers, and equal runs of a list stand together after one sort.
     """
-    placed = F.array_sort(F.transform(items, lambda x, i: F.struct(x.alias("item"), i.alias("at"))))
-    none = F.lit(None).cast("string")
-    zero = F.struct(none.alias("item"), F.lit(0).alias("n"), F.lit(0).alias("at"), none.alias("best"), F.lit(0).alias("best_n"), F.lit(0).alias("best_at"))
-
-    def step(s: Column, x: Column) -> Column:
-        same = s["item"].eqNullSafe(x["item"])
-        n = F.when(same, s["n"] + 1).otherwise(1)
-        at = F.when(same, s["at"]).otherwise(x["at"])
-        better = (n > s["best_n"]) | ((n == s["best_n"]) & (at < s["best_at"]))
-        return F.struct(
-            x["item"].alias("item"),
-            n.alias("n"),
-            at.alias("at"),
-            F.when(better, x["item"]).otherwise(s["best"]).alias("best"),
-            F.when(better, n).otherwise(s["best_n"]).alias("best_n"),
-            F.when(better, at).otherwise(s["best_at"]).alias("best_at"),
-        )
-
-    return F.aggregate(placed, zero, step, lambda s: F.struct(s["best_n"].alias("n"), s["best"].alias("item")))
-
-
-def grams(words: Column, n: int = GRAM) -> Column:
-    def made(w: Column) -> Column:
-        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
-
-    return let(words, made)
+    n, strings = len(lists), lists.flatten()
+    offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())]).astype(np.int64)
+    owner = np.repeat(np.arange(n), np.diff(offsets))
+    count, place = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    at = np.flatnonzero(np.arange(len(strings)) + width <= offsets[1:][owner])
+    if len(at):
+        numbered = pc.dictionary_encode(strings).indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        run = numbered[at]
+        for k in range(1, width):
+            _, run = np.unique(run * (numbered.max() + 1) + numbered[at + k], return_inverse=True)
+        owner = owner[at]
+        order = np.lexsort((run, owner))
+        new = np.ones(len(at), bool)
+        new[1:] = (owner[order[1:]] != owner[order[:-1]]) | (run[order[1:]] != run[order[:-1]])
+        begin = np.flatnonzero(new)
+        times, first, whose = np.diff(np.append(begin, len(at))), at[order[begin]], owner[order[begin]]
+        best = np.lexsort((first, -times, whose))
+        best = best[np.diff(whose[best], prepend=-1) > 0]
+        count[whose[best]], place[whose[best]] = times[best], first[best]
+    places = pa.array(place, mask=count == 0)
+    item = pc.binary_join_element_wise(*[strings.take(pc.add(places, k)) for k in range(width)], " ")
+    return pa.StructArray.from_arrays([pa.array(count), item], names=["n", "item"])
+
+
+def words(lowered: Column) -> Column:
+    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
 
 
 def sentences(lowered: Column) -> Column:
     """Sentences of enough words, each as its words joined by a space."""
-    words = F.transform(F.split(lowered, SENTENCE_END), lambda s: F.regexp_extract_all(s, F.lit(WORD), F.lit(0)))
-    return F.transform(F.filter(words, lambda w: F.size(w) >= SENTENCE_WORDS), lambda w: F.array_join(w, " "))
+    found = F.transform(F.split(lowered, SENTENCE_END), words)
+    return F.transform(F.filter(found, lambda w: F.size(w) >= SENTENCE_WORDS), lambda w: F.array_join(w, " "))
 
 
 def loops(answer: Column) -> Column:
-    """struct<gram, sentence>: the commonest of each."""
+    """struct<gram, sentence>, each struct<n, item>: the commonest of each."""
+    if spark := SparkSession.getActiveSession():
+        importable(spark)
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for found, said in batches:
+            yield pa.StructArray.from_arrays([commonest(found, GRAM), commonest(said, 1)], names=["gram", "sentence"])
+
     lowered = F.lower(answer)
-    words = F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
-    return F.struct(most_common(grams(words)).alias("gram"), most_common(sentences(lowered)).alias("sentence"))
+    kind = "struct<n:long,item:string>"
+    return F.arrow_udf(run, f"gram {kind}, sentence {kind}").asNondeterministic()(words(lowered), sentences(lowered))
 
 
 def repetition_rule(found: Column) -> Column:
@@ -149,7 +163,6 @@ def scored(df: DataFrame, domain: str, prompt: str, reference: str, answer: str,
     d, p, r, a = (F.col(c) for c in (domain, prompt, reference, answer))
     found = F.struct(
         marks(a).alias("marks"),
-        loops(a).alias("loops"),
         F.when(d, answer_term(a)).otherwise(F.lit("")).alias("term"),
         F.when(d, ungrounded(p, r, a)).otherwise(F.array().cast("array<string>")).alias("loose"),
     )
@@ -157,12 +170,12 @@ def scored(df: DataFrame, domain: str, prompt: str, reference: str, answer: str,
     made = F.struct(
         format_rule(x["marks"]).alias(RULES[0]),
         clean_stop_rule(F.col(stopped), F.col(new_tokens), F.lit(limit)).alias(RULES[1]),
-        repetition_rule(x["loops"]).alias(RULES[2]),
+        repetition_rule(F.col("_loops")).alias(RULES[2]),
         domain_rule(d, x["term"]).alias(RULES[3]),
         numbers_rule(d, x["loose"]).alias(RULES[4]),
     )
-    out = df.withColumn("_found", once(found)).withColumn("_rules", once(made))
-    return out.withColumns({n: F.col("_rules")[n] for n in RULES}).drop("_found", "_rules")
+    out = df.withColumn("_loops", loops(a)).withColumn("_found", once(found)).withColumn("_rules", once(made))
+    return out.withColumns({n: F.col("_rules")[n] for n in RULES}).drop("_loops", "_found", "_rules")
 
 
 def failed(rules: dict[str, Column]) -> Column:

@@ -77,13 +77,25 @@ def build_pairs(rows: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def with_rank(rows: DataFrame, by: str, name: str, width: int = 4096) -> DataFrame:
-    """Adds the place, from 0, in the order of a distinct integer column: counts of ranges, then ranks inside each."""
-    ranged = rows.withColumn("_range", F.floor(F.col(by) / width))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(by)) - 1
-    return ranged.join(offsets, "_range").withColumn(name, F.col("_offset") + within).drop("_range", "_offset")
+    """Adds the place, from 0, in the order of a distinct integer column.
+
+    Counts of ranges, of ranges of 65,536 of those, and so on give each range its offset,
+    so that no task orders more than `width` rows or 65,536 counts, however large the
+    integers are.
+    """
+    levels = [rows.groupBy(F.floor(F.col(by) / width).alias("_l0")).agg(F.count("*").alias("_n"))]
+    for k in (1, 2):
+        levels.append(levels[-1].groupBy(F.floor(F.col(f"_l{k - 1}") / 65_536).alias(f"_l{k}")).agg(F.sum("_n").alias("_n")))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = levels[2].select("_l2", before(Window.orderBy("_l2")).alias("_offset"))
+    for k in (1, 0):
+        up = f"_l{k + 1}"
+        within = levels[k].withColumn(up, F.floor(F.col(f"_l{k}") / 65_536))
+        within = within.withColumn("_in", before(Window.partitionBy(up).orderBy(f"_l{k}")))
+        offsets = within.join(offsets, up).select(f"_l{k}", (F.col("_offset") + F.col("_in")).alias("_offset"))
+    ranged = rows.withColumn("_l0", F.floor(F.col(by) / width))
+    place = F.row_number().over(Window.partitionBy("_l0").orderBy(by)) - 1
+    return ranged.join(offsets, "_l0").withColumn(name, F.col("_offset") + place).drop("_l0", "_offset")
 
 
 def pair_counts(samples: DataFrame, prompts: int, pairs: int, dropped: int) -> DataFrame:
@@ -116,6 +128,48 @@ def pair_counts(samples: DataFrame, prompts: int, pairs: int, dropped: int) -> D
     return both.withColumn("prompts_without_rejected_sample", F.col("prompts") - F.col("prompts_with_rejected_sample"))
 
 
+def run_counts(rows: DataFrame, samples: DataFrame) -> DataFrame:
+    """pair_counts of a run with its pairs counted too, in one pass over the samples: counters of each prompt, then their sums."""
+    is_ = lambda v: F.col("verdict") == v
+    has = lambda column, value: F.array_contains(column, value)
+    sums = {
+        "samples": F.count("*"),
+        "samples_rejected": F.count_if(is_("rejected")),
+        "ambiguous_skipped": F.count_if(is_("ambiguous")),
+        "samples_pass": F.count_if(is_("pass")),
+        **{f"rejections_{r}": F.count_if(has("reject_reasons", r)) for r in rules.REASONS},
+        **{f"failures_{r}": F.count_if(has("failed", r)) for r in rules.RULES},
+        **{f"{r}_failures_not_rejected": F.count_if(has("failed", r) & ~is_("rejected")) for r in rules.RULES[3:]},
+        "stopped": F.count_if("stopped"),
+        "new_tokens": F.sum("new_tokens"),
+    }
+    first = F.min_by(F.when(is_("rejected"), F.col("text")), F.when(is_("rejected"), F.col("sample")))
+    by_prompt = samples.groupBy("prompt_index").agg(*[c.alias(n) for n, c in sums.items()], F.bool_or(is_("rejected")).alias("any"), F.bool_and(is_("pass")).alias("all"), first.alias("_text"))
+    prompts = rows.select(F.col("index").alias("prompt_index"), text.strip(F.col("output")).alias("_reference"))
+    joined = prompts.join(by_prompt, "prompt_index", "left").withColumn("_same", text.strip(F.col("_text")) == F.col("_reference"))
+    total = joined.agg(
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in sums],
+        F.count("*").alias("prompts"),
+        F.count_if("any").alias("prompts_with_rejected_sample"),
+        F.count_if("all").alias("prompts_all_samples_pass"),
+        F.count_if(F.col("any") & ~F.col("_same")).alias("pairs_kept"),
+        F.count_if(F.col("any") & F.col("_same")).alias("pairs_dropped_rejected_equals_chosen"),
+    )
+    share = lambda n: F.try_divide(F.col(n), F.col("samples"))
+    made = total.withColumns(
+        {f"rejected_share_{r}": share(f"rejections_{r}") for r in rules.REASONS}
+        | {"no_stop_share": F.try_divide(F.col("samples") - F.col("stopped"), F.col("samples")), "stopped_share": share("stopped"), "mean_new_tokens": share("new_tokens")}
+        | {"yield": F.try_divide("pairs_kept", "prompts"), "prompts_without_rejected_sample": F.col("prompts") - F.col("prompts_with_rejected_sample")}
+    )
+    return made.drop("stopped", "new_tokens")
+
+
+def training_rows(pairs: DataFrame) -> DataFrame:
+    """Pairs as preference training reads them: the prompt's turns, and each answer as an assistant's turn."""
+    turn = lambda c: F.array(text.message("assistant", F.col(c))).alias(c)
+    return pairs.select("index", "prompt", turn("chosen"), turn("rejected"), "rejected_stopped")
+
+
 def throughput(samples: Column, tokens: Column, seconds: Column) -> Column:
     """struct<samples_per_minute, tokens_per_second>, null without time; for newly generated rows only."""
     per = lambda x: F.round(F.try_divide(x, seconds), 2)
