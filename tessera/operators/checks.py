@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from hashlib import sha256
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,14 +44,25 @@ def leaked(rows: DataFrame, held_out: DataFrame, key: str = "key") -> DataFrame:
 def prompt_set_hash(rows: DataFrame, key: str = "key", order: str | None = None) -> DataFrame:
     """SHA-256 of the keys, one per line: sorted, or in the given column's order.
 
-    The digest is defined over one string, so the prompts of an evaluation set meet
-    in one value; the set is small by definition.
+    The digest is defined over one string, so one task reads all keys in order; it sorts
+    on disk and holds a batch of them at a time.
     """
-    if order:
-        keys = F.transform(F.array_sort(F.collect_list(F.struct(order, key))), lambda x: x[key])
-    else:
-        keys = F.array_sort(F.collect_list(key))
-    return rows.agg(F.sha2(F.array_join(keys, "\n"), 256).alias("sha256"), F.count("*").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, n, some = sha256(usedforsecurity=False), 0, False
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                n += 1
+                if k is not None:
+                    digest.update(("\n" if some else "").encode() + k.encode())
+                    some = True
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()]), pa.array([n])], names=["sha256", "n"])
+
+    placed = rows.select(F.col(key).alias("_key"), *([F.col(order).alias("_order")] if order else []))
+    by = ["_order", "_key"] if order else ["_key"]
+    made = placed.repartition(1).sortWithinPartitions(*by).select("_key").mapInArrow(run, "sha256 string, n long")
+    nothing = F.sha2(F.lit("").cast("binary"), 256)  # an empty table may have no task
+    return made.agg(F.coalesce(F.max("sha256"), nothing).alias("sha256"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 def single_value(df: DataFrame, column: str):
@@ -117,3 +131,54 @@ def check_grades(grades: DataFrame, indices: DataFrame) -> None:
     found = grade_problems(grades, indices).groupBy("problem").agg(F.count("*").alias("n"), F.min(F.struct("index", "label")).alias("first")).collect()
     if found:
         raise ValueError("; ".join(f"{r.n} x {r.problem}, first: {tuple(r.first)}" for r in sorted(found, key=lambda r: r.problem)))
+
+
+class WrongBase(ValueError):
+    """An adapter is used without the base it was trained on, or on another."""
+
+
+def base_adapters(systems: DataFrame, adapters: DataFrame) -> DataFrame:
+    """(system, sha256, problem) of every system: its base adapter's digest, and what is wrong with it, or null.
+
+    systems: (system, adapter, base_adapter); adapters: (adapter, sha256, base_path, base_sha256),
+    the last two being what an adapter says of the base it was trained on, or null.
+    """
+    own = adapters.select("adapter", "base_path", "base_sha256")
+    base = adapters.select(F.col("adapter").alias("base_adapter"), "sha256")
+    joined = systems.select("system", "adapter", "base_adapter").join(own, "adapter", "left").join(base, "base_adapter", "left")
+    short = lambda c: F.substring(c, 1, 12)
+    given, trained = F.col("base_adapter").isNotNull(), F.col("base_sha256").isNotNull()
+    problem = (
+        F.when(~given & trained, F.concat("system", F.lit(": "), "adapter", F.lit(" was trained on top of "), "base_path", F.lit("; set base_adapter")))
+        .when(given & F.col("sha256").isNull(), F.concat("system", F.lit(": no base adapter at "), "base_adapter"))
+        .when(given & trained & (F.col("sha256") != F.col("base_sha256")), F.concat("system", F.lit(": base adapter has sha256 "), short("sha256"), F.lit(", trained on "), short("base_sha256")))
+    )
+    return joined.select("system", F.when(given, F.col("sha256")).alias("sha256"), problem.alias("problem"))
+
+
+def check_base_adapters(systems: DataFrame, adapters: DataFrame) -> None:
+    if bad := base_adapters(systems, adapters).where("problem is not null").agg(F.min("problem").alias("p")).first().p:
+        raise WrongBase(bad)
+
+
+def sheet_problems(sheet: DataFrame, key: DataFrame) -> DataFrame:
+    """(index, problem): prompts that a sheet and its key don't both have once, and labels that are not LABELS for SYSTEMS.
+
+    sheet has index; key has index, system and label.
+    """
+    lines = sheet.groupBy("index").agg(F.count("*").alias("lines"))
+    sets = key.groupBy("index").agg(F.array_sort(F.collect_list("label")).alias("labels"), F.array_sort(F.collect_list("system")).alias("systems"))
+    array = lambda names: F.array(*[F.lit(n) for n in sorted(names)])
+    problem = (
+        F.when(F.col("lines").isNull(), "not on the sheet")
+        .when(F.col("labels").isNull(), "not in the key")
+        .when(F.col("lines") > 1, "twice on the sheet")
+        .when((F.col("labels") != array(LABELS)) | (F.col("systems") != array(SYSTEMS)), "bad labels")
+    )
+    return lines.join(sets, "index", "full").select("index", problem.alias("problem")).where("problem is not null")
+
+
+def check_sheet(sheet: DataFrame, key: DataFrame) -> None:
+    found = sheet_problems(sheet, key).agg(F.count("*").alias("n"), F.min(F.struct("index", "problem")).alias("first")).first()
+    if found.n:
+        raise ValueError(f"the sheet does not match its key: {found.n} prompts, first {found.first['index']}: {found.first['problem']}")

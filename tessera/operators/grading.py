@@ -49,19 +49,21 @@ def summary(grades: DataFrame, rubric: DataFrame, resamples: int = metrics.RESAM
 
 
 def differences(grades: DataFrame, both_pass: DataFrame | None = None, resamples: int = metrics.RESAMPLES, seed: int = 0) -> DataFrame:
-    """(grader, difference, n, a_correct, b_correct, diff, ci_lo, ci_hi); both_pass keeps prompts on which its rubric passes both systems."""
-    sides = grades.select("grader", "index", "system", (F.col("grade") == "correct").alias("ok"))
-    graders = grades.select("grader").distinct()
-    out = None
-    for label, a, b in DIFFERENCES:
-        one = lambda s, name: sides.where(F.col("system") == s).select("grader", "index", F.col("ok").alias(name))
-        pairs = one(a, "a_ok").join(one(b, "b_ok"), ["grader", "index"])
-        if both_pass is not None:
-            for s in (a, b):
-                pairs = pairs.join(both_pass.where((F.col("system") == s) & F.col("overall")).select("index"), "index", "left_semi")
-        made = metrics.paired_differences(pairs, ["grader"], "a_ok", "b_ok", resamples, seed, every=graders).withColumn("difference", F.lit(label))
-        out = made if out is None else out.unionByName(made)
-    return out
+    """(grader, difference, n, a_correct, b_correct, diff, ci_lo, ci_hi); both_pass keeps prompts on which its rubric passes both systems.
+
+    All systems of a prompt meet once, so grades and rubric are computed once.
+    """
+    is_ = lambda s: F.col("system") == s
+    sides = grades.groupBy("grader", "index").agg(*[F.bool_or(F.when(is_(s), F.col("grade") == "correct")).alias(f"ok_{s}") for s in SYSTEMS])
+    passed = lambda s: F.lit(True)
+    if both_pass is not None:
+        passing = both_pass.groupBy("index").agg(*[F.coalesce(F.bool_or(is_(s) & F.col("overall")), F.lit(False)).alias(f"pass_{s}") for s in SYSTEMS])
+        sides = sides.join(passing, "index")
+        passed = lambda s: F.col(f"pass_{s}")
+    entry = lambda label, a, b: F.when(passed(a) & passed(b), F.struct(F.lit(label).alias("difference"), F.col(f"ok_{a}").alias("a_ok"), F.col(f"ok_{b}").alias("b_ok")))
+    pairs = sides.select("grader", F.explode(F.array_compact(F.array(*[entry(*d) for d in DIFFERENCES]))).alias("d")).select("grader", "d.*").where("a_ok is not null and b_ok is not null")
+    every = grades.select("grader").distinct().withColumn("difference", F.explode(F.array(*[F.lit(d[0]) for d in DIFFERENCES])))
+    return metrics.paired_differences(pairs, ["grader", "difference"], "a_ok", "b_ok", resamples, seed, every=every)
 
 
 def grader_agreement(grades: DataFrame) -> DataFrame:
