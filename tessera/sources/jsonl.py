@@ -11,14 +11,17 @@ import json
 import os
 import re
 import tempfile
+from collections.abc import Iterable
 from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import checks
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
+
+def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line, value) of every terminated line, line from 0; what follows the last line break is left out."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
     last = F.max("line").over(Window.partitionBy("file"))
@@ -33,13 +36,13 @@ def eval_rows(spark: SparkSession, path: str, limit: int | None = None) -> DataF
     return rows if limit is None else rows.where(F.col("index") < limit)
 
 
-def records(spark: SparkSession, path: str, schema: str, key: dict[str, Any] | None = None) -> DataFrame:
-    """Records behind the header line, up to the first line that is not a JSON object; none if the header isn't `key`."""
+def records(spark: SparkSession, path: str | list[str], schema: str, key: dict[str, Any] | None = None) -> DataFrame:
+    """Records behind the header line, up to the first line that is not a JSON object; none of a file whose header isn't `key`."""
     numbered = lines(spark, path)
     if key is not None:
-        header = numbered.where("line = 0").select("value").first()
-        if header is None or not same_key(header.value, key):
-            numbered = numbered.where("false")
+        headers = numbered.where("line = 0").select("file", "value").collect()  # one for each file
+        good = [(r.file,) for r in headers if same_key(r.value, key)]
+        numbered = numbered.join(F.broadcast(spark.createDataFrame(good, "file string")), "file", "left_semi")
     parsed = numbered.where("line > 0").withColumn("r", F.from_json("value", f"struct<{as_struct(schema)},_corrupt:string>", {"columnNameOfCorruptRecord": "_corrupt"}))
     bad = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
     cut = parsed.groupBy("file").agg(F.min(F.when(bad, F.col("line"))).alias("_cut"))
@@ -88,13 +91,14 @@ def grades(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("grader", "r.*").drop("_corrupt")
 
 
-def write_atomic(path: str | Path, text: str) -> None:
-    """The file appears whole or not at all."""
+def write_atomic(path: str | Path, text: str | Iterable[str]) -> None:
+    """The file appears whole or not at all; text may come in pieces."""
     path = Path(path)
     handle, part = tempfile.mkstemp(dir=path.parent, prefix=f".{path.name}.")
     try:
         with os.fdopen(handle, "w", encoding="utf-8") as f:
-            f.write(text)
+            for piece in [text] if isinstance(text, str) else text:
+                f.write(piece)
             f.flush()
             os.fsync(f.fileno())
         os.replace(part, path)
@@ -109,7 +113,9 @@ def file_sha256(path: str | Path) -> str:
     for p in [path] if path.is_file() else sorted(x for x in path.rglob("*") if x.is_file()):
         if p != path:
             digest.update(str(p.relative_to(path)).encode())
-        digest.update(p.read_bytes())
+        with open(p, "rb") as f:
+            while piece := f.read(1 << 20):
+                digest.update(piece)
     return digest.hexdigest()
 
 
@@ -119,11 +125,10 @@ def to_jsonl(rows: DataFrame) -> DataFrame:
 
 
 def write_pairs(pairs: DataFrame, folder: str | Path, manifest: dict[str, Any]) -> dict[str, Any]:
-    """pairs.jsonl in index order and manifest.json with its checksum."""
+    """pairs.jsonl in index order and manifest.json with its checksum; the driver holds one partition at a time."""
     folder = Path(folder)
     folder.mkdir(parents=True, exist_ok=True)
-    text = "".join(r.value + "\n" for r in to_jsonl(pairs.orderBy("index")).toLocalIterator())
-    write_atomic(folder / "pairs.jsonl", text)
+    write_atomic(folder / "pairs.jsonl", (r.value + "\n" for r in to_jsonl(pairs.orderBy("index")).toLocalIterator()))
     full = manifest | {"pairs_sha256": file_sha256(folder / "pairs.jsonl")}
     write_atomic(folder / "manifest.json", json.dumps(full, indent=2) + "\n")
     return full
@@ -138,3 +143,33 @@ def read_pairs(spark: SparkSession, folder: str | Path, adapter_sha256: str) ->
     if manifest["pairs_sha256"] != file_sha256(folder / "pairs.jsonl"):
         raise ValueError("pairs.jsonl changed since its manifest")
     return spark.read.json(str(folder / "pairs.jsonl"))
+
+
+def write_sheet(sheet: DataFrame, key: DataFrame, folder: str | Path, facts: dict[str, Any]) -> None:
+    """sheet.jsonl for the graders and, apart from it, key.json with each prompt's systems by label and the facts of the run.
+
+    sheet: (index, prompt, reference, answers); key: (index, system, label). Both in index order.
+    """
+    folder = Path(folder)
+    folder.mkdir(parents=True, exist_ok=True)
+    write_atomic(folder / "sheet.jsonl", (r.value + "\n" for r in to_jsonl(sheet.orderBy("index")).toLocalIterator()))
+    labels = key.groupBy("index").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "system")))).alias("labels"))
+    lines = (json.dumps(str(r["index"])) + ": " + json.dumps(r.labels) for r in labels.orderBy("index").toLocalIterator())
+
+    def pieces() -> Iterable[str]:
+        yield "{" + json.dumps("facts") + ": " + json.dumps(facts) + ", " + json.dumps("labels") + ": {"
+        for i, line in enumerate(lines):
+            yield (",\n" if i else "\n") + line
+        yield "\n}}\n"
+
+    write_atomic(folder / "key.json", pieces())
+
+
+def read_sheet(spark: SparkSession, folder: str | Path) -> tuple[DataFrame, DataFrame, dict[str, Any]]:
+    """(sheet, key, facts), the sheet's prompts and the key's being the same."""
+    folder = Path(folder)
+    held = json.loads((folder / "key.json").read_text())
+    key = spark.createDataFrame([(int(i), s, x) for i, labels in held["labels"].items() for x, s in labels.items()], "index long, system string, label string")
+    sheet = spark.read.schema("index long, prompt string, reference string, answers map<string,string>").json(str(folder / "sheet.jsonl"))
+    checks.check_sheet(sheet, key)
+    return sheet, key, held["facts"]
