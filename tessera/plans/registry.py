@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import rouge, rules, seeded, text, tokens
+from tessera.functions import numbers, rouge, rules, seeded, text, tokens
 from tessera.operators import checks, compare, grading, metrics, plans, scoring, split
 from tessera.plans import inputs, sql
 from tessera.plans.inputs import LIMIT
-from tessera.sources.shared import importable
+from tessera.sources import jsonl
+from tessera.sources.shared import importable, shared_folder
 
 FLAGSHIP = "rubric_rates"
 SEED = 7
@@ -99,6 +101,20 @@ def leaked_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.leaked(split.with_key(inputs.document_rows(spark, sf_dir)), bench).select("row_id")
 
 
+BENCH_ROWS = f"select * from ({inputs.DOCUMENT_ROWS}) union all select -1 - row_number() over (order by item_id), '  ' || text, case when item_id % 3 = 0 then 'more' end, text from benchmark where text is not null"
+
+
+@query(f"""with rows as ({BENCH_ROWS}) select row_id, {inputs.PROMPT_KEY} as key from rows where {inputs.PROMPT_KEY} in (select trim(regexp_replace(text, '\\s+', ' ', 'g')) from benchmark)""")
+def leaked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, and the benchmark's own items as rows of which two in three have the item's key."""
+    bench = inputs.table(spark, sf_dir, "benchmark").where("text is not null")
+    place = F.row_number().over(Window.orderBy("item_id"))
+    items = bench.select((-1 - place).cast("long").alias("row_id"), F.concat(F.lit("  "), "text").alias("instruction"), F.when(F.col("item_id") % 3 == 0, "more").alias("input"), F.col("text").alias("output"))
+    rows = inputs.document_rows(spark, sf_dir).unionByName(items)
+    keys = bench.select(text.collapse(F.col("text")).alias("key"))
+    return checks.leaked(split.with_key(rows), keys).select("row_id", "key")
+
+
 @query(f"""with g as ({inputs.INDEXED_ROWS}), k as (select index, {inputs.PROMPT_KEY} as key from g)
     select 'sorted' as kind, sha256(string_agg(key, chr(10) order by key)) as sha256, count(*) as n from k union all
     select 'ordered', sha256(string_agg(key, chr(10) order by index)), count(*) from k""")
@@ -151,6 +167,47 @@ def rubric_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("system", "index", F.array_join("failed", "+").alias("failed"), "overall", "verdict", F.col("domain_terms.applies").alias("is_finance"))
 
 
+@query(SCORES + rf""", g as (select index, system, p, array_to_string(w[p : p + 3], ' ') as item from w, unnest(range(1, greatest(len(w) - 2, 1))) as t(p)),
+    top_gram as (select index, system, item, count(*) as n from g group by index, system, item qualify row_number() over (partition by index, system order by count(*) desc, min(p)) = 1),
+    said as (select index, system, p, array_to_string(kept[p], ' ') as item from (select index, system, list_filter(s, lambda x: len(x) >= {rules.SENTENCE_WORDS}) as kept from w), unnest(range(1, len(kept) + 1)) as t(p)),
+    top_said as (select index, system, item, count(*) as n from said group by index, system, item qualify row_number() over (partition by index, system order by count(*) desc, min(p)) = 1)
+    select s.system, s.index,
+      case when regexp_matches(text, '^\s*$') then 'empty answer' when regexp_matches(text, '<\|[a-z_]+\|>') then 'leaked chat marker ' || regexp_extract(text, '<\|[a-z_]+\|>')
+           when not format_ok then 'role line ''' || trim(regexp_extract(text, {sql.quoted(sql.ROLE)}), ' ' || chr(9)) || '''' else 'ok' end as format,
+      case when not stopped then 'no stop token after ' || new_tokens || ' tokens' when new_tokens >= {LIMIT} then 'hit the {LIMIT}-token limit' else 'ok' end as clean_stop,
+      case when tg.n >= {rules.GRAM_TIMES} then '''' || tg.item || ''' occurs ' || tg.n || ' times' when ts.n >= 2 then 'sentence ''' || ts.item || ''' occurs ' || ts.n || ' times' else 'ok' end as repetition,
+      case when not domain then 'not a finance row' when domain_terms_ok then 'term found' else 'no finance term in a finance answer' end as domain_terms,
+      case when not domain then 'not a finance row' when ungrounded_numbers_ok then 'ok'
+           else 'not in prompt or reference: ' || array_to_string(list_transform(list_filter(regexp_extract_all(text, '\$(\d+)', 1), lambda x: not list_contains(regexp_extract_all(instruction || chr(10) || coalesce(input, ''), '\d+'), x)), lambda x: '$' || x), ', ') end as ungrounded_numbers
+    from scored s left join top_gram tg using (index, system) left join top_said ts using (index, system)""")
+def rubric_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule says of each answer; which finance term was found is left out."""
+    s = _scores(spark, sf_dir)
+    term = F.regexp_replace("domain_terms.reason", r"(?s)^uses '.*'$", "term found")
+    return s.select("system", "index", *[F.col(f"{r}.reason").alias(r) if r != "domain_terms" else term.alias(r) for r in rules.RULES])
+
+
+#: Prompts with one figure and answers with it in another form, or every fifth time with another figure.
+FIGURE_ROWS = """select index, case k when 0 then 'It is ' || n || '%.' when 1 then 'We sold ' || n || '.5 million.' when 2 then 'A loan of $' || n || ',000 here.' when 3 then 'Pay ' || n || 'k now.' when 4 then 'At ' || n || ' percent.' else 'A sum of ' || n || '.25 each.' end as prompt,
+    case k when 0 then 'That is 0.' || m || ' of it.' when 1 then 'So ' || m || ',500,000 sold.' when 2 then 'It was ' || m || ' thousand.' when 3 then 'That is $' || m || ',000.' when 4 then 'Or ' || m || '%.' else 'Each is ' || m || '.250.' end as answer, m = n as grounded
+    from (select index, index % 6 as k, 11 + index % 80 as n, 11 + index % 80 + case when index % 5 = 0 then 3 else 0 end as m from ({rows}))"""
+FIGURE = r"""list_transform(regexp_extract_all({text}, '\d+(?:,\d\d\d)*(?:\.\d+)?(?: million| thousand|k)?(?:%| percent)?'), lambda x: [round(replace(regexp_extract(x, '^[\d.,]+'), ',', '')::double, 6),
+    round(replace(regexp_extract(x, '^[\d.,]+'), ',', '')::double * case when contains(x, 'million') then 1e6 when contains(x, 'thousand') or contains(x, 'k') then 1e3 when contains(x, '%') or contains(x, 'percent') then 0.01 else 1 end, 6)])"""
+
+
+@query("with r as (" + FIGURE_ROWS.replace("{rows}", inputs.INDEXED_ROWS) + "), f as (select *, list_distinct(flatten(" + FIGURE.replace("{text}", "prompt") + ")) as known, " + FIGURE.replace("{text}", "answer") + """ as found from r)
+    select index, prompt, answer, len(list_filter(found, lambda x: not list_has_any(x, known))) as loose, len(list_distinct(flatten(found))) as n_values, grounded from f""")
+def grounded_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures with multipliers, percent signs, decimals and grouping: how many of an answer's are not in its prompt."""
+    made = inputs.indexed_rows(spark, sf_dir).selectExpr("index", "index % 6 as k", "11 + index % 80 as n", "11 + index % 80 + if(index % 5 = 0, 3, 0) as m")
+    lead = F.expr("case k when 0 then concat('It is ', n, '%.') when 1 then concat('We sold ', n, '.5 million.') when 2 then concat('A loan of $', n, ',000 here.') when 3 then concat('Pay ', n, 'k now.') when 4 then concat('At ', n, ' percent.') else concat('A sum of ', n, '.25 each.') end")
+    said = F.expr("case k when 0 then concat('That is 0.', m, ' of it.') when 1 then concat('So ', m, ',500,000 sold.') when 2 then concat('It was ', m, ' thousand.') when 3 then concat('That is $', m, ',000.') when 4 then concat('Or ', m, '%.') else concat('Each is ', m, '.250.') end")
+    texts = made.select("index", lead.alias("prompt"), said.alias("answer"), (F.col("m") == F.col("n")).alias("grounded"))
+    loose = F.size(rules.ungrounded(F.col("prompt"), F.lit(""), F.col("answer"))).cast("long")
+    values = F.size(numbers.all_values(numbers.figures(F.col("answer")))).cast("long")
+    return texts.select("index", "prompt", "answer", loose.alias("loose"), values.alias("n_values"), "grounded")
+
+
 LONG = " union all ".join(f"select system, index, '{r}' as rule, {r}_ok as passed from scored" + (" where domain" if r in rules.RULES[3:] else "") for r in rules.RULES) + " union all select system, index, 'overall', overall from scored"
 
 
@@ -209,6 +266,18 @@ def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("index", "prompt_index", "chosen", "rejected", "rejected_sample", "rejected_stopped", joined("rejected_failed_rules"), joined("rejected_reasons"))
 
 
+@query(PAIRS + r""" select pair as index, 2 as prompt_turns, 'system' as first_role, trim(instruction, ' ' || chr(10)) || case when length(coalesce(input, '')) > 0 then chr(10) || chr(10) || 'Context: ' || trim(input, ' ' || chr(10)) else '' end as asked,
+    'assistant' as chosen_role, trim(output, ' ' || chr(10)) as chosen, 'assistant' as rejected_role, text as rejected, stopped as rejected_stopped from kept""")
+def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs as arrays of messages, taken apart again."""
+    made = scoring.training_rows(scoring.build_pairs(inputs.indexed_rows(spark, sf_dir), _samples(spark, sf_dir)))
+    one = lambda c: F.element_at(c, 1)
+    return made.select(
+        "index", F.size("prompt").alias("prompt_turns"), one("prompt")["role"].alias("first_role"), F.element_at("prompt", -1)["content"].alias("asked"),
+        one("chosen")["role"].alias("chosen_role"), one("chosen")["content"].alias("chosen"), one("rejected")["role"].alias("rejected_role"), one("rejected")["content"].alias("rejected"), "rejected_stopped",
+    )
+
+
 @query(PAIRS + f""", held as (select *, row_number() over (order by md5('{SEED}:' || pair), pair) - 1 as place from kept), n as (select count(*) as n from kept)
     select pair as index, place < least(greatest(1, round_even(0.1 * n, 0)), n - 1) as held from held, n""")
 def pair_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,9 +293,7 @@ def pair_split(spark: SparkSession, sf_dir: str) -> DataFrame:
       (select count(*) from per where r) as prompts_with_rejected_sample, (select count(*) from per where p) as prompts_all_samples_pass, (select count(*) from kept) as pairs_kept,
       (select count(*) from chosen) - (select count(*) from kept) as pairs_dropped_rejected_equals_chosen, round((select count(*) from kept) / (select count(*) from per)::double, 6) as "yield" from sample""")
 def pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, samples = inputs.indexed_rows(spark, sf_dir), _samples(spark, sf_dir)
-    totals = scoring.candidates(rows, samples).agg(F.count_if(~F.col("dropped")).alias("kept"), F.count_if("dropped").alias("dropped")).first()
-    counts = scoring.pair_counts(samples, rows.count(), totals.kept, totals.dropped)
+    counts = scoring.run_counts(inputs.indexed_rows(spark, sf_dir), _samples(spark, sf_dir))
     wanted = ["samples", "samples_rejected", "ambiguous_skipped", "samples_pass", *[f"rejections_{r}" for r in rules.REASONS], "failures_clean_stop", "failures_domain_terms", "failures_ungrounded_numbers",
               "ungrounded_numbers_failures_not_rejected", "mean_new_tokens", "stopped_share", "prompts_with_rejected_sample", "prompts_all_samples_pass", "pairs_kept", "pairs_dropped_rejected_equals_chosen", "yield"]
     return rounded(counts.select(*wanted), "mean_new_tokens", "stopped_share", "yield")
@@ -283,6 +350,34 @@ def pair_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.pair_changes(scores, SYSTEM_PAIRS, LIMIT).withColumns({c: joined(c) for c in ("fixed_indices", "regressed_indices", "regressed_rules")})
 
 
+@query(SCORES + BOTH + """ select pair, case when bo then 'fixed' else 'regressed' end as kind, index, case when bo then '' else array_to_string(bf, '+') end as rules from ab where ao <> bo""")
+def changed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each prompt on which the second of two systems does better or worse."""
+    return compare.changes(_scores(spark, sf_dir).withColumn("rouge_l", F.lit(None).cast("double")), SYSTEM_PAIRS, LIMIT)
+
+
+@query(f"""with g as ({inputs.GENERATIONS}) select system, index, new_tokens::int as new_tokens, text from g where new_tokens < 60 qualify row_number() over (partition by system order by index) <= 5""")
+def short_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five short answers of each system: the limit is the feature."""
+    found = compare.short_examples(inputs.generations(spark, sf_dir), 60, 5)
+    return found.select("system", F.explode("examples").alias("e")).select("system", "e.index", "e.new_tokens", "e.text")
+
+
+@query(f"""with recursive g as ({inputs.GENERATIONS}), words as (select index, regexp_extract_all(lower(text), '[a-z0-9]+') as r, lead(regexp_extract_all(lower(output), '[a-z0-9]+'), 1, []) over (order by index) as p from g where system = 'dpo'),
+    cells(index, i, j, l) as (select index, 0::bigint, j, 0 from words, unnest(range(len(p) + 1)) as u(j) union all
+      select index, i + 1, j, max(x) over (partition by index order by j) from (
+        select c.index, c.i, c.j, greatest(c.l, coalesce(lag(c.l) over (partition by c.index order by c.j) + (w.p[c.j] = w.r[c.i + 1])::int, 0)) as x from cells c join words w using (index) where c.i < len(w.r)))
+    select w.index, max(l)::int as lcs, round(case when max(l) > 0 then 2 * max(l) / (len(any_value(p)) + len(any_value(r)))::double else 0 end, 9) as f1 from words w join cells c on w.index = c.index and c.i = len(w.r) and c.j = len(w.p) group by w.index""")
+def rouge_l_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain ROUGE-L of one system's answers against the next row's output, which has other words."""
+    importable(spark)
+    answers = inputs.generations(spark, sf_dir).where("system = 'dpo'").select("index", "text")
+    after = inputs.indexed_rows(spark, sf_dir).select((F.col("index") - 1).alias("index"), F.col("output").alias("reference"))
+    made = answers.join(after, "index", "left").withColumn("f1", rouge.rouge_l(F.col("text"), F.coalesce("reference", F.lit("")), stemmed=False))
+    count = lambda c: F.size(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
+    return made.select("index", F.round(F.col("f1") * (count("text") + count("reference")) / 2).cast("int").alias("lcs"), F.round("f1", 9).alias("f1"))
+
+
 @query()
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean stemmed and plain ROUGE-L F1 of each system."""
@@ -358,6 +453,63 @@ def both_pass_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(grading.differences(inputs.grades(spark, sf_dir), both_pass=_scores(spark, sf_dir)), "diff", "ci_lo", "ci_hi")
 
 
+@query(f"""with gr as ({inputs.GRADES}), d as (select grader, index, system, case when index % 4 = 0 then 'wrong' else grade end as grade, case when index % 3 = 0 then 'terse' else 'because ' || index % 7 end as reason from gr where grader = 'g2'),
+    p as (select x.grade as a, y.grade as b from gr x join d y using (index, system) where x.grader = 'g1'), t as (select count(*) as n, count(*) filter (a = b) as same from p),
+    ch as (select sum(x.c * y.c) as chance from (select a as k, count(*) as c from p group by a) x join (select b as k, count(*) as c from p group by b) y using (k))
+    select 'g1' as grader, 'g2' as discarded, n, round(same / n::double, 6) as exact_match, round((same / n::double - chance / (n * n)::double) / (1 - chance / (n * n)::double), 6) as cohens_kappa,
+      (select count(*) from d where grade = 'correct') as correct, (select count(distinct reason) from d) as distinct_reasons from t, ch""")
+def discarded_grader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first grader against the second, whose grades are spoiled and then discarded."""
+    grades = inputs.grades(spark, sf_dir)
+    spoiled = grades.where("grader = 'g2'").select("grader", "index", "system", F.expr("if(index % 4 = 0, 'wrong', grade)").alias("grade"), F.expr("if(index % 3 = 0, 'terse', concat('because ', index % 7))").alias("reason"))
+    return rounded(grading.against_discarded(grades.where("grader = 'g1'"), spoiled), "exact_match", "cohens_kappa")
+
+
+@query(f"""with g as ({inputs.GENERATIONS}), {KEY}, sheet as (select index from (select distinct index from key) where index % 13 <> 2 union all select distinct index from key where index % 17 = 5 and index % 13 <> 2),
+    spoiled as (select index, system, case when index % 19 = 6 and label = 'A' then 'B' else label end as label from key where index % 11 <> 3 or index % 13 = 2),
+    l as (select index, count(*) as lines from sheet group by index), k as (select index, array_to_string(list_sort(list(label)), '') as labels from spoiled group by index)
+    select * from (select coalesce(l.index, k.index) as index, case when lines is null then 'not on the sheet' when labels is null then 'not in the key' when lines > 1 then 'twice on the sheet' when labels <> 'ABC' then 'bad labels' end as problem
+      from l full join k on l.index = k.index) where problem is not null""")
+def sheet_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults found in a sheet and a key of which some lines are gone, doubled or changed."""
+    key = grading.blind_key(inputs.indexed_rows(spark, sf_dir), SEED)
+    lines = key.select("index").distinct().where("index % 13 <> 2")
+    sheet = lines.unionByName(lines.where("index % 17 = 5"))
+    spoiled = key.where("index % 11 <> 3 or index % 13 = 2").withColumn("label", F.expr("if(index % 19 = 6 and label = 'A', 'B', label)"))
+    return checks.sheet_problems(sheet, spoiled)
+
+
+@query("""with a as (select 'a' || s_suppkey as adapter, md5('x' || s_suppkey) as sha256, case when s_suppkey % 3 = 0 then 'a' || (s_suppkey + 1) end as base_path, case when s_suppkey % 3 = 0 then md5((case when s_suppkey % 2 = 0 then 'x' else 'y' end) || (s_suppkey + 1)) end as base_sha256, s_suppkey as k from supplier),
+    s as (select 's' || k as system, adapter, case when k % 4 <> 0 then 'a' || (k + 1) end as base_adapter from a)
+    select s.system, case when s.base_adapter is not null then b.sha256 end as sha256,
+      case when s.base_adapter is null and o.base_sha256 is not null then s.system || ': ' || s.adapter || ' was trained on top of ' || o.base_path || '; set base_adapter' when s.base_adapter is not null and b.sha256 is null then s.system || ': no base adapter at ' || s.base_adapter
+           when s.base_adapter is not null and b.sha256 <> o.base_sha256 then s.system || ': base adapter has sha256 ' || substr(b.sha256, 1, 12) || ', trained on ' || substr(o.base_sha256, 1, 12) end as problem
+    from s left join a o on s.adapter = o.adapter left join a b on s.base_adapter = b.adapter""")
+def base_adapter_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as adapters; some name no base, or one that they weren't trained on."""
+    k = F.col("s_suppkey")
+    name, mark = (lambda n: F.concat(F.lit("a"), n.cast("string"))), (lambda x, n: F.md5(F.concat(F.lit(x), n.cast("string"))))
+    trained = lambda c: F.when(k % 3 == 0, c)
+    a = inputs.table(spark, sf_dir, "supplier").select(
+        k, name(k).alias("adapter"), mark("x", k).alias("sha256"), trained(name(k + 1)).alias("base_path"), trained(F.when(k % 2 == 0, mark("x", k + 1)).otherwise(mark("y", k + 1))).alias("base_sha256")
+    )
+    systems = a.select(F.concat(F.lit("s"), k.cast("string")).alias("system"), "adapter", F.when(k % 4 != 0, name(k + 1)).alias("base_adapter"))
+    return checks.base_adapters(systems, a)
+
+
+@query(f"""with g as ({inputs.GENERATIONS}) select index, index as record, prompt_key, new_tokens::int as new_tokens, stopped from g where system = 'dpo'""")
+def cached_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One system's generations, written as a cache behind its header and read back; a cache of other settings beside it is passed over."""
+    folder = shared_folder(spark)
+    g = inputs.generations(spark, sf_dir).where("system = 'dpo'").select("index", "prompt_key", "new_tokens", "stopped")
+    for name, key in (("kept", {"model": "m", "limit": LIMIT}), ("other", {"model": "m", "limit": 1})):
+        head = spark.range(1).select(F.lit(json.dumps({"cache_key": key})).alias("value"), F.lit(-1).cast("long").alias("place"))
+        body = jsonl.to_jsonl(g).select("value", F.from_json("value", "index long")["index"].alias("place"))
+        head.unionByName(body).repartition(1).sortWithinPartitions("place").select("value").write.text(f"{folder}/{name}")
+    found = jsonl.records(spark, [f"{folder}/kept", f"{folder}/other"], "index long, prompt_key string, new_tokens int, stopped boolean", {"model": "m", "limit": LIMIT})
+    return found.select("index", F.col("record").cast("long").alias("record"), "prompt_key", "new_tokens", "stopped")
+
+
 def kappa_sql(pairs: str) -> str:
     return f"""p as ({pairs}), t as (select count(*) as n, count(*) filter (a = b) as same from p), ch as (select coalesce(sum(x.c * y.c), 0) as chance from (select a as k, count(*) as c from p group by a) x join (select b as k, count(*) as c from p group by b) y using (k))
     select n, round(same / n::double, 6) as exact_match, round(case when chance <> n * n then (same / n::double - chance / (n * n)::double) / (1 - chance / (n * n)::double) end, 6) as cohens_kappa from t, ch"""

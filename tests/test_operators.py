@@ -271,3 +271,66 @@ def test_failed_reasons_and_guards(spark, systems):
     for names in ([("a/b",)], [("a",), ("a",)]):
         with pytest.raises(ValueError, match="system name"):
             checks.check_system_names(spark.createDataFrame(names, "system string"))
+
+
+def test_run_counts_are_pair_counts_in_one_pass(spark):
+    table = [(0, 0, GOOD, 9, True), (0, 1, LOOP, 20, True), (1, 0, LOOP, 256, False), (1, 1, GOOD, 9, True), (2, 0, GOOD, 256, False), (2, 1, "<|x|>", 9, True), (3, 0, GOOD, 9, True), (3, 1, GOOD, 9, True)]
+    rows, samples = scored_pairs(spark, table, 5)
+    same = rows.withColumn("output", F.when(F.col("index") == 1, F.lit(LOOP)).otherwise(F.col("output")))
+    got, want = scoring.run_counts(same, samples).first().asDict(), scoring.pair_counts(samples, 5, 2, 1).first().asDict()
+    assert {k: pytest.approx(v) for k, v in want.items()} == got
+    empty = scoring.run_counts(rows.where("false"), samples.where("false")).first()
+    assert empty.samples == 0 and empty["yield"] is None
+
+
+def test_training_rows(spark):
+    rows, samples = scored_pairs(spark, [(0, 0, LOOP, 9, False)], 1)
+    r = scoring.training_rows(scoring.build_pairs(rows, samples)).first()
+    assert [m.role for m in r.prompt] == ["system", "user"] and [tuple(m) for m in r.chosen] == [("assistant", "reference 0")]
+    assert [tuple(m) for m in r.rejected] == [("assistant", LOOP)] and r.rejected_stopped is False
+
+
+def test_changes_as_rows(systems):
+    _, scores = systems
+    got = {(r.pair, r["index"], r.kind, r.rules) for r in compare.changes(scores, [("a", "b"), ("b", "a")]).collect()}
+    assert got == {("a->b", 1, "fixed", ""), ("a->b", 3, "fixed", ""), ("b->a", 1, "regressed", "clean_stop+repetition"), ("b->a", 3, "regressed", "clean_stop+repetition")}
+    none = compare.pair_changes(scores.where("false"), [("a", "b")]).first()
+    assert (none.fixed, none.fixed_indices, none.regressed_rules) == (0, [], [])
+
+
+def test_ranks_of_far_apart_integers(spark):
+    ids = [0, 1, 5, 4095, 4096, 4097, 10**6, 10**9, 10**9 + 1, 10**12, 4 * 10**15, 9 * 10**18]
+    df = spark.createDataFrame([(i,) for i in ids], "k long").repartition(5)
+    assert [tuple(r) for r in scoring.with_rank(df, "k", "place").orderBy("k").collect()] == [(k, i) for i, k in enumerate(ids)]
+
+
+def test_prompt_set_hash_by_definition(spark):
+    from hashlib import sha256
+
+    keys = [f"k {i % 700} é" for i in range(2000)] + [""]
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "index long, key string").repartition(7)
+    digest = lambda ks: sha256("\n".join(ks).encode()).hexdigest()
+    assert tuple(checks.prompt_set_hash(df).first()) == (digest(sorted(keys)), 2001)
+    assert tuple(checks.prompt_set_hash(df, order="index").first()) == (digest(keys), 2001)
+    assert tuple(checks.prompt_set_hash(df.where("false")).first()) == (digest([]), 0)
+
+
+def test_base_adapters(spark):
+    adapters = spark.createDataFrame([("a", "1" * 64, None, None), ("b", "2" * 64, "a", "1" * 64), ("c", "3" * 64, "a", "9" * 64)], "adapter string, sha256 string, base_path string, base_sha256 string")
+    systems = lambda *rows: spark.createDataFrame(rows, "system string, adapter string, base_adapter string")
+    good = systems(("base", None, None), ("x", "a", None), ("y", "b", "a"))
+    checks.check_base_adapters(good, adapters)
+    assert {r.system: r.sha256 for r in checks.base_adapters(good, adapters).collect()} == {"base": None, "x": None, "y": "1" * 64}
+    for row, said in ((("y", "b", None), "was trained on top of a"), (("z", "c", "a"), "trained on 999999999999"), (("q", "a", "gone"), "no base adapter at gone")):
+        with pytest.raises(checks.WrongBase, match=said):
+            checks.check_base_adapters(systems(row), adapters)
+
+
+def test_sheets_and_keys_are_matched(spark):
+    key = grading.blind_key(spark.range(5).select(F.col("id").alias("index")), 3)
+    lines = key.select("index").distinct()
+    checks.check_sheet(lines, key)
+    bad = checks.sheet_problems(lines.where("index > 0").unionByName(lines.where("index = 1")), key.where("index <> 2 and not (index = 3 and label = 'A')"))
+    assert {r["index"]: r.problem for r in bad.collect()} == {0: "not on the sheet", 1: "twice on the sheet", 2: "not in the key", 3: "bad labels"}
+    with pytest.raises(ValueError, match="first 0: not on the sheet"):
+        checks.check_sheet(lines.where("index > 0"), key)

@@ -134,3 +134,66 @@ def test_newest_checkpoint(tmp_path):
         if done:
             (tmp_path / f"checkpoint-{n}" / "done").write_text("")
     assert log.newest_checkpoint(tmp_path, "done").name == "checkpoint-10"
+
+
+def test_each_file_has_its_own_header(spark, tmp_path):
+    row = json.dumps({"index": 1, "prompt_key": "k"})
+    write(tmp_path / "a.jsonl", row)
+    (tmp_path / "b.jsonl").write_text(json.dumps({"cache_key": {"model": "x"}}) + "\n" + row + "\n" + row + "\n")
+    for key, n in ((KEY, 1), ({"model": "x"}, 2), ({"model": "y"}, 0)):
+        assert jsonl.records(spark, str(tmp_path / "*.jsonl"), "index long, prompt_key string", key).count() == n
+
+
+def test_sheet_and_key_apart(spark, tmp_path):
+    from tessera.operators import grading
+
+    rows = spark.createDataFrame([(i, f"q{i}", None, f"ref {i}") for i in range(12)], "index long, instruction string, input string, output string")
+    key = grading.blind_key(rows, 5)
+    gens = key.select("index", "system", F.concat(F.lit("answer of "), "system").alias("text"))
+    jsonl.write_sheet(grading.sheet(rows, gens, key), key, tmp_path / "s", {"seed": 5, "rubric_version": "1"})
+    assert "system" not in (tmp_path / "s/sheet.jsonl").read_text() and len((tmp_path / "s/sheet.jsonl").read_text().splitlines()) == 12
+    sheet, back, facts = jsonl.read_sheet(spark, tmp_path / "s")
+    assert facts == {"seed": 5, "rubric_version": "1"} and sorted(map(tuple, back.collect())) == sorted(map(tuple, key.select("index", "system", "label").collect()))
+    assert sheet.where("index = 3").first().answers.keys() == {"A", "B", "C"}
+    (tmp_path / "s/sheet.jsonl").write_text("".join((tmp_path / "s/sheet.jsonl").read_text().splitlines(True)[1:]))
+    with pytest.raises(ValueError, match="not on the sheet"):
+        jsonl.read_sheet(spark, tmp_path / "s")
+
+
+def test_provenance_fails_closed(tmp_path):
+    import subprocess
+
+    from tessera.sources import run
+
+    out = run.provenance(tmp_path)
+    assert out["commit"] is None and out["scratch"] and out["dirty"] and "no repository" in out["scratch_reason"]
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    git("init")
+    (tmp_path / "a").write_text("1")
+    git("add", "a")
+    git("commit", "-m", "one")
+    clean = run.provenance(tmp_path)
+    assert len(clean["commit"]) == 40 and not clean["scratch"] and clean["scratch_reason"] is None
+    (tmp_path / "b").write_text("2")
+    assert run.provenance(tmp_path)["scratch_reason"] == "the working tree has changes"
+
+
+def test_run_summary(spark, tmp_path):
+    from tessera.sources import run
+
+    lines = [(1, 2.0, None), (2, None, 0.9), (3, 1.0, None), (4, None, 0.4)]
+    df = spark.createDataFrame(lines, "step int, loss double, eval_loss double")
+    found = run.summary(df, {"config": {"a": 1}, "trainable_pct": run.share(1, 3)})
+    assert (found["train_loss"], found["eval_loss_before"], found["eval_loss_after"], found["trainable_pct"]) == (1.5, 0.9, 0.4, 33.333)
+    assert [x["step"] for x in found["log_history"]] == [1, 2, 3, 4] and "resumed_from" not in found
+    part = run.summary(df, {}, resumed_from=2)
+    assert (part["train_loss"], part["resumed_segment_only"], part["eval_loss_before"]) == (1.0, True, None)
+    run.write_summary(tmp_path / "summary.json", found)
+    assert json.loads((tmp_path / "summary.json").read_text()) == found
+
+
+def test_sampling_settings():
+    assert (config.Sampling().decoding, config.Sampling().samples) == ("greedy", 1)
+    for wrong, said in (({"samples": 2}, "greedy"), ({"decoding": "beam"}, "decoding"), ({"max_new_tokens": 64}, "384"), ({"decoding": "sample", "samples": 0}, "positive")):
+        with pytest.raises(ValueError, match=said):
+            config.Sampling(**wrong)

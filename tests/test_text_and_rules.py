@@ -129,3 +129,40 @@ def test_stems():
 
 def test_lexicon_sizes():
     assert len(lexicon.PROMPT_TERMS) == 135 and len(lexicon.ANSWER_TERMS) == 39
+
+
+def test_commonest_runs_by_counting():
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    lists = [[f"w{int(x)}" for x in rng.integers(0, k, n)] for k, n in ((2, 40), (3, 0), (1, 9), (5, 3), (2, 4), (9, 300))] + [None, ["a", "b"] * 30]
+    for width in (1, 2, 4):
+        got = rules.commonest(pa.array(lists, pa.list_(pa.string())), width).to_pylist()
+        for x, r in zip(lists, got):
+            runs = Counter(" ".join(x[i : i + width]) for i in range(len(x or []) - width + 1))
+            assert r == ({"n": runs.most_common(1)[0][1], "item": runs.most_common(1)[0][0]} if runs else {"n": 0, "item": None})
+    sliced = pa.array(lists, pa.list_(pa.string())).slice(2, 3)
+    assert rules.commonest(sliced, 2).to_pylist() == rules.commonest(pa.array(lists[2:5], pa.list_(pa.string())), 2).to_pylist()
+
+
+def test_stemmed_rouge_by_the_table():
+    import numpy as np
+
+    def table(a, b):
+        t = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1, j + 1] = t[i, j] + 1 if x == y else max(t[i, j + 1], t[i + 1, j])
+        return int(t[-1, -1])
+
+    stems = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "hopping": "hop", "filing": "file", "happy": "happi", "relational": "relat", "conditional": "condit", "vietnamization": "vietnam", "triplicate": "triplic", "hopeful": "hope", "goodness": "good", "adjustable": "adjust", "effective": "effect", "probate": "probat", "controlling": "control", "the": "the"}
+    assert {w: rouge.stem(w) for w in stems} == stems
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        p, r = (" ".join(rng.choice(list(stems), rng.integers(0, 40))) for _ in "pr")
+        a, b = ([stems[w] for w in t.split()] for t in (p, r))
+        common = table(a, b)
+        assert rouge.f1(p, r) == (2 * common / (len(a) + len(b)) if common else 0.0)
