@@ -56,3 +56,17 @@ def test_damage_is_noticed(spark):
         assert "damaged" in str(error)
     else:
         raise AssertionError("no error")
+
+
+def test_urls_with_line_breaks_and_a_shared_payload(spark, monkeypatch):
+    from tessera.llm import tables
+
+    monkeypatch.setattr(tables, "HEAVY_LEAST", 10)
+    monkeypatch.setattr(tables, "HEAVY_SHARE", 20)
+    odd = ["http://a/\r\nX: y", "http://b/%0A", "\n", "http://c/%0D%0A\r", None]
+    rows = [(i, odd[i % 5], BIG if i % 3 else f"<p>{i}" + "z" * 1500) for i in range(150)] + [(150, "http://z/", "v" * 3_000_000)]
+    folder = shared_folder(spark)
+    warc.write(pages(spark, rows), folder)
+    back = sorted(((r.page_id, r.url, bytes(r.payload)) for r in warc.restored(spark, folder).collect()), key=str)
+    assert back == sorted(((p, u or "", h.encode()) for p, u, h in rows), key=str)
+    assert sorted(map(tuple, warc.listing(spark, folder).collect()), key=str) == expected(rows)
