@@ -7,28 +7,32 @@ of the benchmark is binary-searched in every shard, one word deeper at a time, s
 a range of the array holds all places where a window occurs. Windows at
 neighbouring places on one diagonal are one longer verbatim match.
 
-Texts never leave their task: no shuffle. The benchmark's words are broadcast;
-their size is checked against MOST_BYTES and a larger benchmark is refused, to be
-given in parts.
-
-Defined results: a null text has no words; an item without words has no window;
-an item with a null id marks words but is not listed; repeated items and repeated
-documents are each treated as rows of their own, an id is listed once for a
-document; an empty benchmark leaves all clean; columns other than the ids and
-texts are not read.
+Texts never leave their task: no shuffle. The benchmark's words are broadcast, if
+there are no more than MOST_BYTES of text; a larger benchmark is dealt into parts, each
+of which passes over all documents, and the parts' matches are merged by document. One
+item is never cut.
+
+Defined results: a null text has no words, one of any length is a shard by itself; an
+item without words has no window; an item with a null id marks words but is not
+listed; repeated items and repeated documents are each treated as rows of their own,
+an id is listed once for a document; an empty benchmark leaves all clean; ids may be of
+any type; columns other than the ids and texts are passed on, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.llm.tables import free_name, importable
+from tessera.llm.tables import free_name, importable, save, shared_folder
 from tessera.llm.words import BY_ALNUM, slices, tokenize
 
 WINDOW = 8
@@ -45,6 +49,7 @@ class Tests:
     lengths: np.ndarray
     items: np.ndarray
     ids: list
+    begins: np.ndarray
 
 
 def tests_of(items: list[tuple[int | None, bytes | None]], window: int) -> Tests:
@@ -56,7 +61,7 @@ def tests_of(items: list[tuple[int | None, bytes | None]], window: int) -> Tests
             starts.append(s)
             lengths.append(np.full(len(s), min(n, window)))
             owner.append(np.full(len(s), i))
-    return Tests(words, np.concatenate(starts), np.concatenate(lengths), np.concatenate(owner), [d for d, _ in items])
+    return Tests(words, np.concatenate(starts), np.concatenate(lengths), np.concatenate(owner), [d for d, _ in items], bounds[:-1])
 
 
 def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
@@ -123,8 +128,8 @@ def occurrences(words: np.ndarray, order: np.ndarray, tests: Tests) -> tuple[np.
         depth += 1
 
 
-def longest_runs(places: np.ndarray, tests: Tests, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of maximal verbatim matches: windows one after another in both texts."""
+def longest_runs(places: np.ndarray, tests: Tests, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths of maximal verbatim matches, and the window each begins with: windows one after another in both texts."""
     begin = tests.starts[windows]
     by = np.lexsort((places, places - begin))
     p, d, item = places[by], (places - begin)[by], tests.items[windows][by]
@@ -132,66 +137,121 @@ def longest_runs(places: np.ndarray, tests: Tests, windows: np.ndarray) -> tuple
     new[1:] = (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1) | (item[1:] != item[:-1])
     heads = np.flatnonzero(new)
     ends = np.append(heads[1:], len(p)) - 1
-    return p[heads], p[ends] - p[heads] + tests.lengths[windows][by][heads]
+    return p[heads], p[ends] - p[heads] + tests.lengths[windows][by][heads], windows[by][heads]
 
 
-def shard(texts: list[bytes | None], tests: Tests, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list]]:
-    """Of each text: its words, those hit, the longest match, and the items found."""
+@dataclass
+class Found:
+    """Of each text: its words, those hit, the longest match, the items found, and (item, start, item_start, length) of each maximal match."""
+
+    n_words: np.ndarray
+    n_hit: np.ndarray
+    longest: np.ndarray
+    items: list[list]
+    matches: list[list[tuple]]
+
+
+def search(texts: list[bytes | None], tests: Tests, window: int) -> Found:
     found, bounds = tokenize(texts, BY_ALNUM)
     n_words = np.diff(bounds)
     words = np.zeros(len(found) + len(texts), np.uint64)
     words[np.arange(len(found)) + np.repeat(np.arange(len(texts)), n_words)] = found
     starts = bounds[:-1] + np.arange(len(texts))
-    items: list[list] = [[] for _ in texts]
-    n_hit, longest = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    out = Found(n_words, np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [[] for _ in texts], [[] for _ in texts])
     if not len(found) or not len(tests.starts):
-        return n_words, n_hit, longest, items
+        return out
     places, windows = occurrences(words, suffix_array(words, window), tests)
     if len(places):
         change = np.zeros(len(words) + 1, np.int64)
         np.add.at(change, places, 1)
         np.add.at(change, places + tests.lengths[windows], -1)
         covered = np.concatenate([[0], np.cumsum(np.cumsum(change[:-1]) > 0)])
-        n_hit = covered[starts + n_words] - covered[starts]
-        heads, lengths = longest_runs(places, tests, windows)
-        np.maximum.at(longest, np.searchsorted(starts, heads, "right") - 1, lengths)
-        owner = np.searchsorted(starts, places, "right") - 1
-        for pair in np.unique(owner * len(tests.ids) + tests.items[windows]):
-            if (name := tests.ids[pair % len(tests.ids)]) is not None:
-                items[pair // len(tests.ids)].append(name)
-    return n_words, n_hit, longest, [sorted(set(x)) for x in items]
+        out.n_hit = covered[starts + n_words] - covered[starts]
+        heads, lengths, opening = longest_runs(places, tests, windows)
+        owner = np.searchsorted(starts, heads, "right") - 1
+        np.maximum.at(out.longest, owner, lengths)
+        item, first = tests.items[opening], tests.starts[opening] - tests.begins[tests.items[opening]]
+        for i, k, at, begin, n in zip(owner.tolist(), item.tolist(), (heads - starts[owner]).tolist(), first.tolist(), lengths.tolist()):
+            out.matches[i].append((tests.ids[k], at, begin, n))
+            if tests.ids[k] is not None:
+                out.items[i].append(tests.ids[k])
+    out.items = [sorted(set(x)) for x in out.items]
+    return out
+
+
+def shard(texts: list[bytes | None], tests: Tests, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list]]:
+    """Of each text: its words, those hit, the longest match, and the items found."""
+    found = search(texts, tests, window)
+    return found.n_words, found.n_hit, found.longest, found.items
+
+
+def items_of(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").cast("binary").alias("t"))
+
+
+def text_bytes(items: DataFrame) -> int:
+    return items.agg(F.sum(F.length("t"))).first()[0] or 0
 
 
 def scanner(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text"):
-    """A function from a text column to struct<n_words, n_hit, longest, items>."""
-    spark = benchmark.sparkSession
-    importable(spark)
-    kept = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").cast("binary").alias("t"))
-    if (size := kept.agg(F.sum(F.length("t"))).first()[0] or 0) > MOST_BYTES:
+    """A function from a text column to struct<n_words, n_hit, longest, items, matches>, for a benchmark that may be broadcast."""
+    items = items_of(benchmark, id_col, text_col)
+    if (size := text_bytes(items)) > MOST_BYTES:
         raise ValueError(f"the benchmark has {size} bytes of text, over {MOST_BYTES}: give it in parts")
-    sent = spark.sparkContext.broadcast(tests_of([(r.i, bytes(r.t) if r.t is not None else None) for r in kept.collect()], window))
+    return searcher(items, window)
+
+
+def searcher(items: DataFrame, window: int):
+    spark = items.sparkSession
+    importable(spark)
+    kind = items.schema["i"].dataType
+    sent = spark.sparkContext.broadcast(tests_of([(r.i, bytes(r.t) if r.t is not None else None) for r in items.collect()], window))
+    name = to_arrow_type(kind)
+    match = pa.struct([("item", name), ("start", pa.int64()), ("item_start", pa.int64()), ("length", pa.int64())])
+    shape = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("longest", pa.int64()), ("items", pa.list_(name)), ("matches", pa.list_(match))])
 
     def scan(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
             values, parts = batch.to_pylist(), []
             for lo, hi in slices(values):
-                n_words, n_hit, longest, items = shard(values[lo:hi], sent.value, window)
-                parts.append(
-                    pa.StructArray.from_arrays(
-                        [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(longest, pa.int64()), pa.array(items, pa.list_(pa.int64()))],
-                        names=["n_words", "n_hit", "longest", "items"],
-                    )
-                )
-            yield pa.concat_arrays(parts) if parts else pa.array([], KIND)
+                found = search(values[lo:hi], sent.value, window)
+                matches = [[dict(zip(("item", "start", "item_start", "length"), m)) for m in x] for x in found.matches]
+                columns = [pa.array(found.n_words), pa.array(found.n_hit), pa.array(found.longest), pa.array(found.items, pa.list_(name)), pa.array(matches, pa.list_(match))]
+                parts.append(pa.StructArray.from_arrays(columns, fields=list(shape)))
+            yield pa.concat_arrays(parts) if parts else pa.array([], shape)
+
+    id_type = kind.simpleString()
+    ddl = f"n_words long, n_hit long, longest long, items array<{id_type}>, matches array<struct<item:{id_type},start:bigint,item_start:bigint,length:bigint>>"
+    return lambda text: F.arrow_udf(scan, ddl).asNondeterministic()(text.cast("string").cast("binary"))
 
-    KIND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("longest", pa.int64()), ("items", pa.list_(pa.int64()))])
-    return lambda text: F.arrow_udf(scan, "n_words long, n_hit long, longest long, items array<long>").asNondeterministic()(text.cast("string").cast("binary"))
 
+def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", id_col: str = "item_id") -> tuple[DataFrame, str]:
+    """docs with one more column, struct<n_words, n_hit, longest, items, matches>, and its name.
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> tuple[DataFrame, str]:
-    """docs with one more column, struct<n_words, n_hit, longest, items>, and its name."""
+    matches: (item, start, item_start, length) of each maximal verbatim match, in words from 0.
+    """
     name = free_name(docs, "hits")
-    return docs.withColumn(name, scanner(benchmark, window)(F.col(text_col))), name
+    items = items_of(benchmark, id_col, "text")
+    if (size := text_bytes(items)) <= MOST_BYTES:
+        return docs.withColumn(name, searcher(items, window)(F.col(text_col))), name
+    spark, row = docs.sparkSession, free_name(docs, "row")
+    folder = shared_folder(spark)
+    numbered = save(docs.withColumn(row, F.monotonically_increasing_id()), f"{folder}/documents")
+    parts = math.ceil(2 * size / MOST_BYTES)
+    dealt = save(items.distinct().withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(parts))), f"{folder}/items")
+    passes = []
+    for k in range(parts):
+        found = numbered.select(F.col(row).alias("row"), searcher(dealt.where(F.col("part") == k).select("i", "t"), window)(F.col(text_col)).alias("h"))
+        found = found.select("row", "h.n_words", "h.longest", "h.items", "h.matches")
+        passes.append(save(found if k == 0 else found.where(F.size("matches") > 0), f"{folder}/pass-{k}"))
+    every = reduce(DataFrame.unionByName, passes)
+    flat = lambda c: F.flatten(F.collect_list(c))
+    merged = every.groupBy("row").agg(F.max("n_words").alias("n_words"), F.max("longest").alias("longest"), F.array_sort(F.array_distinct(flat("items"))).alias("items"), flat("matches").alias("matches"))
+    spans = F.array_sort(F.transform("matches", lambda m: F.struct(m["start"].alias("start"), (m["start"] + m["length"]).alias("end"))))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto"))
+    step = lambda s, m: F.struct((s["n"] + F.greatest(m["end"] - F.greatest(m["start"], s["upto"]), F.lit(0))).alias("n"), F.greatest(s["upto"], m["end"]).alias("upto"))
+    hits = merged.select(F.col("row").alias(row), F.struct("n_words", F.aggregate(spans, zero, step, lambda s: s["n"]).alias("n_hit"), "longest", "items", "matches").alias(name))
+    return numbered.join(hits, row).select(*docs.columns, name), name
 
 
 def items_digest(items: Column) -> Column:

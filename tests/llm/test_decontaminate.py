@@ -88,3 +88,27 @@ def test_oversized_benchmark_is_refused(spark, monkeypatch):
     monkeypatch.setattr(d, "MOST_BYTES", 3)
     with pytest.raises(ValueError, match="in parts"):
         d.scanner(spark.createDataFrame([(1, "abcd")], "item_id long, text string"))
+
+
+def test_a_large_benchmark_passes_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    text = lambda n: " ".join(f"w{int(x)}" for x in rng.integers(0, 30, n))
+    items = [(i, text(20)) for i in range(25)] + [(3, None), (None, text(9)), (7, "solo"), (8, "long " * 200)]
+    docs = [(i, text(15) + " " + items[i % 25][1] + " x " + items[(i * 7) % 25][1][:40] + " solo") for i in range(30)] + [(100, None), (101, ""), (102, "long " * 500), (102, "long " * 500), (103, items[26][1])]
+    ddf = spark.createDataFrame([(i, t, "c", 1) for i, t in docs], "doc_id long, text string, hits string, row int")
+    bdf = spark.createDataFrame(items, "item_id long, text string")
+    whole = {(r.doc_id, str(sorted(map(str, r.h.matches))), r.h.longest) for r in d.with_hits(ddf, bdf)[0].select("doc_id", d.F.col("hits_").alias("h")).collect()}
+    monkeypatch.setattr(d, "MOST_BYTES", 400)
+    assert answer(ddf, bdf) == brute(docs, items)
+    parts = {(r.doc_id, str(sorted(map(str, r.h.matches))), r.h.longest) for r in d.with_hits(ddf, bdf)[0].select("doc_id", d.F.col("hits_").alias("h")).collect()}
+    assert parts == whole
+    kept = d.decontaminated(ddf, bdf)
+    assert kept.columns == ddf.columns and {r.doc_id for r in kept.collect()} == {100, 101, 103}
+
+
+def test_locations_and_ids_of_any_type(spark):
+    bdf = spark.createDataFrame([("b-2", "a b c d e f g h i j"), ("b-10", "p q r")], "item_id string, text string")
+    ddf = spark.createDataFrame([(1, "x c d e f g h i j y P Q R a b c d e f g h i")], "doc_id long, text string")
+    r = d.with_hits(ddf, bdf)[0].first().hits
+    assert r["items"] == ["b-10", "b-2"] and r.longest == 9 and r.n_hit == 8 + 3 + 9
+    assert sorted((m["item"], m.start, m.item_start, m.length) for m in r.matches) == [("b-10", 10, 0, 3), ("b-2", 1, 2, 8), ("b-2", 13, 0, 9)]
