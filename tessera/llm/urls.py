@@ -7,18 +7,20 @@ literal token is a run of ASCII letters and digits that the pattern guarantees t
 stand alone in any URL it matches. One pass counts how many URLs hold each token
 of the rules; a rule is filed under its rarest one. URL tokens are joined to that
 index, and only the rules so fetched run their regular expressions. A rule
-without a token would have to run everywhere and is refused.
+without a token would have to run everywhere: it is refused, unless scan_bare asks
+for that.
 
 Verdict: the longest host rule that fits decides; without one, the longest other
 pattern; without that, the URL is allowed.
 
-The rules are broadcast; there may be MOST_RULES at most. The URLs shuffle once,
-by row, after each row's matches have been merged.
+Up to MOST_RULES rules are one literal of the plan and broadcast; more are a table that
+joins by token. The URLs shuffle once, by row, after each row's matches have been merged.
 
 Defined results: a null URL, or one without ://, has an empty host and path, fits
 no host rule and is judged by the other patterns (a null one is allowed); repeated
-rows are judged alike; a null page_id is kept; an empty table gives an empty one;
-columns other than the id and the url are not read.
+rows are judged alike; a null page_id is kept; an empty table gives an empty one; a URL
+of any length is judged whole; columns other than the id and the url are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -52,7 +54,7 @@ class Rule:
             body = self.name
             host, slash, path = body.partition("/")
             return "^(?:[^/]*\\.)?" + literal(host.lower()) + translate(slash + path)
-        return translate(self.pattern.lower())
+        return translate(self.pattern.lower().strip("*"))  # found anywhere, so a * at either end says nothing
 
     def tokens(self) -> list[str]:
         """Literal tokens, longest first, that stand alone wherever the rule matches."""
@@ -104,34 +106,42 @@ def parts(url: Column) -> tuple[Column, Column]:
 
 
 def constants(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
-    """A small table from one literal of the plan."""
+    """A table of rules: one literal of the plan if there are few."""
+    if len(rows) > MOST_RULES:
+        return spark.createDataFrame(rows, schema)
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")))
 
 
-def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(page_id, host, path, rule, verdict) of every row."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules: over {MOST_RULES} must be given in parts")
-    if bare := [r.pattern for r in rules if not r.tokens()]:
-        raise ValueError(f"no literal token stands alone in {bare}")
-    spark = pages.sparkSession
+def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", scan_bare: bool = False) -> DataFrame:
+    """(page_id, host, path, rule, verdict) of every row; scan_bare: rules without a token run on all rows."""
+    bare = [r for r in rules if not r.tokens()]
+    if bare and not scan_bare:
+        raise ValueError(f"no literal token stands alone in {[r.pattern for r in bare]}")
+    spark, near = pages.sparkSession, F.broadcast if len(rules) <= MOST_RULES else lambda df: df
     url = F.col(url_col).cast("string")
     lower = F.lower(F.coalesce(url, F.lit("")))
     tokens = F.array_distinct(F.split(lower, "[^a-z0-9]+"))
 
     known = sorted({t for r in rules for t in r.tokens()})
     wanted = constants(spark, [{"token": t} for t in known], "token string")
-    seen = pages.select(F.explode(tokens).alias("token")).join(F.broadcast(wanted), "token").groupBy("token").agg(F.count("*").alias("n"))
+    seen = pages.select(F.explode(tokens).alias("token")).join(near(wanted), "token").groupBy("token").agg(F.count("*").alias("n"))
     counts = {r.token: r.n for r in seen.collect()}  # at most the rules' own tokens
     index = [
         {"token": min(r.tokens(), key=lambda t: counts.get(t, 0)), "name": r.name, "judgement": r.verdict, "anchored": r.anchored, "regex": r.regex(), "length": len(r.name)}
         for r in rules
+        if r.tokens()
     ]
     filed = constants(spark, index, "token string, name string, judgement string, anchored boolean, regex string, length int")
 
     host, path = parts(url)
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), lower.alias("lower"), tokens.alias("tokens"))
-    fetched = rows.withColumn("token", F.explode("tokens")).drop("tokens").join(F.broadcast(filed), "token", "left")
+    everywhere = [
+        F.when((F.concat("host", "path") if r.anchored else F.col("lower")).rlike(r.regex()), F.struct(F.lit(r.anchored).alias("anchored"), F.lit(len(r.name)).alias("length"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("judgement")))
+        for r in bare
+    ]
+    if everywhere:
+        rows = rows.withColumn("bare", F.array_max(F.array(*everywhere)))
+    fetched = rows.withColumn("token", F.explode("tokens")).drop("tokens").join(near(filed), "token", "left")
     subject = F.when(F.col("anchored"), F.concat("host", "path")).otherwise(F.col("lower"))
     fits = F.col("regex").isNotNull() & F.expr("regexp_like(subject, regex)")
     rank = F.struct(F.col("anchored"), F.col("length"), F.col("name"), F.col("judgement"))
@@ -139,7 +149,7 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "pag
         fetched.withColumn("subject", subject)
         .withColumn("fit", F.when(fits, rank))
         .groupBy("row", "page_id", "host", "path")
-        .agg(F.max("fit").alias("fit"))
+        .agg(F.max(F.greatest("fit", "bare") if everywhere else "fit").alias("fit"))
     )
     return best.select(
         "page_id",

@@ -54,3 +54,19 @@ def test_tokens_must_stand_alone(spark):
 def test_no_python_in_the_plan(spark):
     plan = urls.judged(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_rules_without_a_token_run_on_all_rows(spark, monkeypatch):
+    rules = (*urls.RULES, urls.Rule("block", "*q=ca*"), urls.Rule("allow", "||"), urls.Rule("block", "*lads*1"))
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
+
+    def tried(url):
+        host, path, _, _ = plain(url)
+        fits = [(r.anchored, len(r.name), r.name, r.verdict) for r in rules if re.search(r.regex(), host + path if r.anchored else (url or "").lower(), re.S)]
+        best = max(fits, default=None)
+        return best and best[0] and best[2] or None if best else None, best[3] if best else "allow"
+
+    got = {r.page_id: (r.rule or None, r.verdict) for r in urls.judged(df, rules, scan_bare=True).collect()}
+    assert got == {i: tried(u) for i, u in enumerate(URLS)}
+    monkeypatch.setattr(urls, "MOST_RULES", 3)
+    assert {r.page_id: (r.rule or None, r.verdict) for r in urls.judged(df, rules, scan_bare=True).collect()} == got
