@@ -1,4 +1,8 @@
+import math
+import re
+
 import numpy as np
+import pytest
 
 from tessera.llm import queries, toxicity
 
@@ -47,3 +51,32 @@ def test_edge_cases(spark):
     assert toxicity.severities(df.where("false"), labels).count() == 0
     assert {r.severity for r in toxicity.severities(df, labels.where("false")).collect()} == {0.0}
     assert {r.severity for r in toxicity.severities(df, labels.where("toxic = 0")).collect()} == {0.0}
+
+
+def test_severity_against_a_plain_version(spark):
+    from tessera.llm.words import hashes, mix
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    weight = {int(h): float(w) for h, w in zip(model.words, model.weights)}
+
+    def key(part, size):
+        data = np.frombuffer(part, np.uint8)
+        h = hashes(data, np.array([0]), np.array([len(data)]))
+        return int(h[0]) if size is None else int(mix(h + np.uint64(size))[0])
+
+    def plain(text):
+        found = set()
+        for word in set(re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))):
+            found.add(key(word, None))
+            found |= {key(word[:k], k) for k in toxicity.PREFIXES if len(word) > k}
+        z = sum(weight.get(f, 0.0) for f in found)
+        return sum(1 / (1 + math.exp(min(500, max(-500, c - z)))) for c in model.thresholds)
+
+    got = {r.doc_id: r for r in queries.op6_toxicity_severity(spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    picked = sorted(got, key=lambda i: -got[i].severity)[:40] + sorted(got)[::25]
+    assert len(weight) > 10 and {got[i].toxic for i in picked} == {True, False}
+    for i in picked:
+        assert got[i].severity == pytest.approx(plain(texts[i]), abs=1e-9) and got[i].grade == int(got[i].severity + 0.5) and got[i].toxic == (got[i].severity >= 0.5)
