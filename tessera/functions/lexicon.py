@@ -47,6 +47,7 @@ def term_pattern(terms: tuple[str, ...]) -> str:
     return alternatives(terms, r"(?<!\w)", r"\w*", r"(?!\w)")
 
 
+# The patterns of a bank, an amount, a large amount, and interest beside a rate, an earning or an amount.
 BANK = "".join(f"(?<!{x})" for x in NOT_BEFORE_BANK) + r"(?<!\w)bank(?:s|er|ers)?(?!\w)(?!\s*,)"
 AMOUNT = rf"{CURRENCY}\s?\d"
 LARGE_AMOUNT = rf"{CURRENCY}\s?(?:\d{{1,3}}(?:,\d{{3}})+|\d+(?:\.\d+)?\s?k)(?!\w)"

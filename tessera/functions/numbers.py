@@ -19,6 +19,7 @@ MULTIPLIERS = {"thousand": 3, "million": 6, "billion": 9, "trillion": 12, "mm":
 # Bare integers up to the first, and from the second to the third, are list numbers and years.
 SMALL, FIRST_YEAR, LAST_YEAR = 10, 1900, 2099
 
+# The form of a figure, and what may not stand beside it.
 BODY = (
     rf"({CURRENCY}\s?)?((?:\d{{1,3}}(?:,\d{{3}})+|\d+)(?:\.\d+)?|\.\d+)"
     rf"(?:\s?({'|'.join(MULTIPLIERS)})(?!\w))?(\s?%|\s?percent(?!\w))?"

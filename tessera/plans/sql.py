@@ -25,9 +25,9 @@ def is_domain(prompt: str) -> str:
     before = "|".join(lexicon.NOT_BEFORE_BANK)
     bank = f"regexp_replace({prompt}, '(?i)({before})bank', '\\1_bank', 'g')"
     bank = f"regexp_replace({bank}, '(?i)bank(s|er|ers)?(\\s*,)', 'bank_\\2', 'g')"
-    same, amount = r"[^.?!\n]", r"[$£€]\s?\d"
-    ahead = rf"{START}interest(?:{amount}|[^.?!\n\p{{L}}\p{{N}}_]{same}{{0,39}}?(?:\brate|\bearn|{amount}|\d\s?%))"
-    behind = rf"(?:\brate|\bearn\w*|{amount}){same}{{0,39}}?[^.?!\n\p{{L}}\p{{N}}_]interest{EDGE}"
+    same, amount, reach = r"[^.?!\n]", r"[$£€]\s?\d", lexicon.INTEREST_REACH - 1  # one character is matched by the edge
+    ahead = rf"{START}interest(?:{amount}|[^.?!\n\p{{L}}\p{{N}}_]{same}{{0,{reach}}}?(?:\brate|\bearn|{amount}|\d\s?%))"
+    behind = rf"(?:\brate|\bearn\w*|{amount}){same}{{0,{reach}}}?[^.?!\n\p{{L}}\p{{N}}_]interest{EDGE}"
     large = rf"[$£€]\s?(?:\d{{1,3}}(?:,\d{{3}})+|\d+(?:\.\d+)?\s?k){EDGE}"
     tests = [matches(prompt, terms(lexicon.PROMPT_TERMS)), matches(bank, f"{START}bank(?:s|er|ers)?{EDGE}"), matches(prompt, ahead), matches(prompt, behind), matches(prompt, large)]
     return "(" + " or ".join(tests) + ")"
