@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import numbers, rouge, rules, seeded, text, tokens
+from tessera.functions import numbers, rouge, rules, seeded, text, times, tokens
 from tessera.operators import checks, compare, grading, metrics, plans, scoring, split
 from tessera.plans import inputs, sql
 from tessera.plans.inputs import LIMIT
@@ -606,6 +606,13 @@ def training_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(means.join(moved, "run", "left"), "train_loss", "first", "last", "delta")
 
 
+@query("""select user_id as run, strftime(min(ts), '%Y-%m-%dT%H:%M:%S') as started, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') as ended, datesub('second', min(ts), max(ts)) as seconds from events group by user_id""")
+def run_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each run began and ended, and how long it took."""
+    ends = inputs.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return ends.select("run", times.iso(F.col("a")).alias("started"), times.iso(F.col("b")).alias("ended"), times.seconds(F.col("a"), F.col("b")).alias("seconds"))
+
+
 @query(f"""with t as ({inputs.TOKEN_ARRAYS}), c as (select len(ids) - len(list_filter(ids, lambda x: x < 8)) as p, len(list_filter(ids, lambda x: x < 4)) as ch, len(list_filter(ids, lambda x: x < 8)) as rj from t), kept as (select * from c where p < 40)
     select count(*) as pairs, count(*) filter (p + ch > 48) as chosen_truncated, count(*) filter (p + rj > 48) as rejected_truncated, (select count(*) from c) - count(*) as dropped_prompt_too_long from kept""")
 def truncations(spark: SparkSession, sf_dir: str) -> DataFrame:

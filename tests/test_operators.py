@@ -334,3 +334,11 @@ def test_sheets_and_keys_are_matched(spark):
     assert {r["index"]: r.problem for r in bad.collect()} == {0: "not on the sheet", 1: "twice on the sheet", 2: "not in the key", 3: "bad labels"}
     with pytest.raises(ValueError, match="first 0: not on the sheet"):
         checks.check_sheet(lines.where("index > 0"), key)
+
+
+def test_times(spark):
+    from tessera.functions import times
+
+    df = spark.sql("select timestamp_ntz'2024-02-29 23:59:58.9' as a, timestamp_ntz'2024-03-01 00:01:00.1' as b, cast(null as timestamp_ntz) as c")
+    r = df.select(times.iso(F.col("a")).alias("a"), times.seconds(F.col("a"), F.col("b")).alias("s"), times.iso(F.col("c")).alias("c"), times.now().alias("n")).first()
+    assert (r.a, r.s, r.c) == ("2024-02-29T23:59:58", 61, None) and r.n.endswith("+00:00") and len(r.n) == 25
