@@ -2,26 +2,29 @@
 
 Codes: a rotation of the leading principal directions is learned (ITQ: signs and
 an orthogonal Procrustes fit in turn) on at most SAMPLE vectors drawn by a hash;
-several rotations give 64 bits each. Tables: every code is cut into blocks about as
-wide as the logarithm of the number of vectors; a vector is filed under each block
-and probes all blocks within one bit of its own. The number of rotations is the
-least for which a pair at the threshold is expected to be met with `recall`.
-
-Probes meet files in semi-joins on (table, block) with a bound on the whole code's
-Hamming distance, so only vectors that have a candidate go on, not pairs. Their
-original vectors are then compared, in double precision, in tiles of a bucket's
-filed and probing vectors; a tile returns counts and a spanning star for each
-connected group, never pairs. A pair that meets in several tables counts in the
-first of them only.
+several rotations give 64 bits each. Tables: every code is cut into blocks a little
+wider than the logarithm of the number of vectors, and a vector is filed once under
+each block. The number of rotations is the least for which a pair at the threshold is
+expected to share a block with `recall`.
+
+A candidate is a pair that shares a block and whose first 64 bits differ in at most
+`near_bits`; this depends on the pair alone, not on the table. In buckets of up to
+LIGHT vectors only those that have a candidate go on, not pairs; in larger ones all
+do. Their original vectors are then compared, in double precision, in tiles of
+FILED x FILED vectors of a bucket, worked through in strips; a tile returns counts
+and a star for each connected group, never pairs. A pair that meets in several
+tables counts in the first of them only.
 
 Equal vectors are one class and are not compared with each other. The work left
-for a group of many different vectors that are all close is the counting itself.
+for a group of many different vectors that are all close is the counting itself. A
+bucket of n vectors sends each of them to n / FILED tiles, and tiles are gathered
+in groups of about ROWS rows, so what a task holds doesn't grow with a bucket.
 
 Defined results: vectors that are null, empty, zero, hold null or non-finite
 components, link with nothing; the vectors of each length are a group of their own,
 compared with each other as any; a null id is counted as a row but names no component (component_id is null if none reachable
 has an id, and kept is false); repeated rows link with each other; an empty table
-gives an empty one; other columns, the label among them, are not read.
+gives an empty one; other columns, the label among them, are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,18 +32,19 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import components, importable, lookup_join, save, shared_folder
+from tessera.llm.tables import components, discard, importable, lookup_join, save, shared_folder
 
 SAMPLE = 5000
-#: Filed and probing vectors of one tile, and rows that a task handles at once.
-FILED, PROBING, ROWS = 512, 2048, 20_000
+#: Vectors of a bucket that are sifted by code alone, of a side of a tile, and of a strip; rows that a task should handle at once.
+LIGHT, FILED, PROBING, ROWS = 256, 4096, 512, 20_000
+#: Rows of a bucket, or of a thousandth of all, from which its size is broadcast.
+HEAVY = 1000
 
 
 @dataclass(frozen=True)
@@ -48,6 +52,8 @@ class Plan:
     threshold: float
     width: int
     rotations: int
+    #: Of the first 64 bits, and of all, that the codes of two linked vectors may differ in.
+    near_bits: int
     most_bits: int
 
     @property
@@ -62,13 +68,13 @@ class Plan:
 
 def plan_for(n: int, threshold: float, recall: float = 0.99) -> Plan:
     """Block width from the number of vectors, rotations from the angle at the threshold."""
-    width = min(32, max(8, math.ceil(math.log2(max(2, n)))))
+    width = min(32, max(8, math.ceil(math.log2(max(2, n))) + 2))
     p = math.acos(min(1.0, threshold)) / math.pi
-    met = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+    met = (1 - p) ** width
     tables = 1 if met >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - met))
     rotations = max(1, math.ceil(tables / (64 // width)))
-    bits = 64 * rotations
-    return Plan(threshold, width, rotations, math.ceil(p * bits + 4.5 * math.sqrt(bits * p * (1 - p))) + 1)
+    most = lambda bits: min(bits, math.ceil(p * bits + 6 * math.sqrt(bits * p * (1 - p))) + 1)
+    return Plan(threshold, width, rotations, most(64), most(64 * rotations))
 
 
 def fit(sample: np.ndarray, rotations: int, rounds: int = 30, seed: int = 11) -> np.ndarray:
@@ -114,37 +120,69 @@ def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return kept.withColumn("ok", F.coalesce(F.when(v.isNotNull() & (F.size(v) > 0), finite & some), F.lit(False)))
 
 
+def strips(n: int) -> list[slice]:
+    return [slice(lo, min(n, lo + PROBING)) for lo in range(0, n, PROBING)]
+
+
+def tile_links(x: np.ndarray, y: np.ndarray, near: tuple[np.ndarray, np.ndarray], other: np.ndarray, plan: Plan) -> np.ndarray:
+    """Which vectors of y link with which of x; near holds their first 64 bits, other is False for a vector and itself."""
+    out = np.empty((len(y), len(x)), bool)
+    for at in strips(len(y)):
+        out[at] = y[at] @ x.T >= plan.threshold
+        if (link := out[at] & other[at]).any():
+            link &= np.bitwise_count(near[0][at][:, None] ^ near[1][None, :]) <= plan.near_bits
+        out[at] = link
+    return out
+
+
+def fresh(link: np.ndarray, words: tuple[np.ndarray, np.ndarray], earlier: list[tuple[int, int, int]]) -> np.ndarray:
+    """The links of pairs that share a block in none of the earlier tables."""
+    out = link.copy()
+    for _, r, mask in earlier:
+        a, b = (w[:, r] & np.uint64(mask) for w in words)
+        for at in strips(len(a)):
+            out[at] &= a[at][:, None] != b[None, :]
+    return out
+
+
+def settled(link: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest class of each connected group, for both sides: labels spread over the links until nothing changes."""
+    none = np.iinfo(np.int64).max
+    while True:
+        to_y, to_x = y.copy(), x.copy()
+        for at in strips(len(y)):
+            to_y[at] = np.minimum(y[at], np.where(link[at], x[None, :], none).min(axis=1))
+        for at in strips(len(y)):
+            to_x = np.minimum(to_x, np.where(link[at], to_y[at][:, None], none).min(axis=0))
+        if (to_y == y).all() and (to_x == x).all():
+            return y, x
+        y, x = to_y, to_x
+
+
 def compare(table: pa.Table, plan: Plan, d: int) -> pa.Table:
-    """Counts and connecting links of the tiles in a group of rows."""
-    col = {n: table.column(n).to_numpy() for n in ("t", "k", "i", "j", "filed", "cid", "m")}
+    """Counts and connecting links of the tiles (t, k, i, j) in a group of rows; own is the chunk of the row."""
+    col = {n: table.column(n).to_numpy() for n in ("t", "k", "i", "j", "own", "cid", "m")}
     vectors = matrix(table.column("v").combine_chunks(), d)
     words = matrix(table.column("code").combine_chunks(), plan.rotations).astype(np.int64).view(np.uint64)
     vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True) if len(vectors) else vectors
-    order = np.lexsort((col["cid"], col["filed"], col["j"], col["i"], col["k"], col["t"]))
+    order = np.lexsort((col["cid"], col["own"], col["j"], col["i"], col["k"], col["t"]))
     keys = np.stack([col[n][order] for n in ("t", "k", "i", "j")], axis=1)
     cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1), [True]])) if len(keys) else []
     masks, rows = plan.masks(), {"cid": [], "n": [], "root": []}
     for lo, hi in zip(cuts, cuts[1:]):
         at = order[lo:hi]
-        y, x = at[col["filed"][at] == 0], at[col["filed"][at] == 1]
+        t, _, i, j = (int(v) for v in keys[lo])
+        y, x = at[col["own"][at] == i], at[col["own"][at] == j]
         if not len(x) or not len(y):
             continue
-        link = (vectors[y] @ vectors[x].T >= plan.threshold) & (col["cid"][y][:, None] != col["cid"][x][None, :])
+        cy, cx = col["cid"][y], col["cid"][x]
+        link = tile_links(vectors[x], vectors[y], (words[y, 0], words[x, 0]), cy[:, None] != cx[None, :], plan)
         if not link.any():
             continue
-        first = link.copy()
-        for _, r, mask in masks[: int(keys[lo][0])]:
-            first &= np.bitwise_count((words[y, r][:, None] ^ words[x, r][None, :]) & np.uint64(mask)) > 1
-        counts = first @ col["m"][x]
-        # Labels spread over the links until they settle: each connected group's smallest class.
-        ly, lx, none = col["cid"][y].copy(), col["cid"][x].copy(), np.iinfo(np.int64).max
-        while True:
-            to_y = np.minimum(ly, np.where(link, lx[None, :], none).min(axis=1))
-            to_x = np.minimum(lx, np.where(link, to_y[:, None], none).min(axis=0))
-            if (to_y == ly).all() and (to_x == lx).all():
-                break
-            ly, lx = to_y, to_x
-        for ids, n, roots in ((col["cid"][y], counts, ly), (col["cid"][x], np.zeros(len(x), np.int64), lx)):
+        first = fresh(link, (words[y], words[x]), masks[:t])
+        ly, lx = settled(link, cy, cx)
+        sides = [(cy, first @ col["m"][x], ly)] + ([(cx, first.T @ col["m"][y], lx)] if i != j else [])
+        for ids, n, roots in sides:
             some = (n > 0) | (roots != ids)
             rows["cid"].append(ids[some])
             rows["n"].append(n[some])
@@ -187,36 +225,30 @@ def of_length(read: DataFrame, d: int, threshold: float) -> DataFrame:
     coded = save(classes.select("cid", "m", "v", F.arrow_udf(encode, "array<long>")("v").alias("code")), f"{folder}/codes")
 
     filed = F.array(*[F.struct(F.lit(t).alias("t"), F.get("code", F.lit(r)).bitwiseAND(F.lit(signed(mask))).alias("k")) for t, r, mask in plan.masks()])
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(signed(1 << b)) for b in range(64)])
-    files = coded.select("cid", "code", F.explode(filed).alias("b")).select("cid", "code", "b.t", "b.k")
-    low = (F.col("t") % plan.blocks) * plan.width
-    near = F.concat(F.array(F.lit(0).cast("long")), F.slice(flips, (low + 2).cast("int"), plan.width))
-    probes = files.withColumn("flip", F.explode(near)).select("cid", "code", "t", F.col("k").bitwiseXOR(F.col("flip")).alias("k"))
-    apart = lambda a, b: reduce(lambda x, y: x + y, [F.bit_count(F.get(f"{a}.code", F.lit(r)).bitwiseXOR(F.get(f"{b}.code", F.lit(r)))) for r in range(plan.rotations)])
-
-    def meeting(one: DataFrame, other: DataFrame) -> DataFrame:
-        same = (F.col("a.t") == F.col("b.t")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.cid") != F.col("b.cid"))
-        return one.alias("a").join(other.alias("b"), same & (apart("a", "b") <= plan.most_bits), "left_semi").select("cid", "t", "k")
-
-    probing, held = meeting(probes, files), meeting(files, probes)
-    met = save(probing.withColumn("filed", F.lit(0)).unionByName(held.withColumn("filed", F.lit(1))), f"{folder}/met")
-    sizes = met.groupBy("t", "k").agg(F.ceil(F.count_if(F.col("filed") == 1) / FILED).cast("int").alias("ni"), F.ceil(F.count_if(F.col("filed") == 0) / PROBING).cast("int").alias("nj"))
-    spread = lambda own, n: F.when(own, F.array(F.pmod(F.xxhash64("cid"), F.col(n)).cast("int"))).otherwise(F.sequence(F.lit(0), F.col(n) - 1))
+    files = coded.select("cid", F.get("code", F.lit(0)).alias("near"), F.explode(filed).alias("bucket"))
+    sizes = save(files.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), f"{folder}/sizes")
+    chunks = sizes.select("bucket", F.when(F.col("n") <= min(LIGHT, FILED), 0).otherwise(F.ceil(F.col("n") / FILED)).cast("int").alias("chunks"))
+    shared = lookup_join(files, chunks, "bucket", sizes, n * len(plan.masks()), HEAVY).where("chunks is not null")
+    close = lambda x, y: (x["cid"] != y["cid"]) & (F.bit_count(x["near"].bitwiseXOR(y["near"])) <= plan.near_bits)
+    light = shared.where("chunks = 0").groupBy("bucket").agg(F.collect_list(F.struct("cid", "near")).alias("all"))
+    light = light.select("bucket", F.explode(F.filter("all", lambda x: F.exists("all", lambda y: close(x, y)))).alias("one")).select("bucket", "one.cid", F.lit(1).alias("chunks"))
+    met = save(light.unionByName(shared.where("chunks > 0").select("bucket", "cid", "chunks")), f"{folder}/met")
     tiles = (
-        met.join(sizes.where("ni > 0 and nj > 0"), ["t", "k"])
-        .withColumn("i", F.explode(spread(F.col("filed") == 1, "ni")))
-        .withColumn("j", F.explode(spread(F.col("filed") == 0, "nj")))
-        .select("t", "k", "i", "j", "filed", "cid")
+        met.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("bucket.t", "bucket.k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid")
     )
-    groups = max(1, math.ceil(met.count() / ROWS))
+    groups = max(1, math.ceil((met.agg(F.sum("chunks")).first()[0] or 0) / ROWS))
     group = F.pmod(F.xxhash64("t", "k", "i", "j"), F.lit(groups)).alias("g")
     found = (
         tiles.join(coded, "cid")
-        .select(group, "t", "k", "i", "j", "filed", "cid", "m", "v", "code")
+        .select(group, "t", "k", "i", "j", "own", "cid", "m", "v", "code")
         .groupBy("g")
         .applyInArrow(lambda table: compare(table, plan, d), "cid long, n long, root long")
     )
     found = save(found, f"{folder}/found")
+    for name in ("codes", "sizes", "met"):
+        discard(spark, f"{folder}/{name}")
     linked = found.groupBy("cid").agg(F.sum("n").alias("n"))
     roots = components(found.where("root <> cid").select(F.col("cid").alias("a"), F.col("root").alias("b")), folder)
     joined = (

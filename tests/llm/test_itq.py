@@ -119,3 +119,53 @@ def test_vectors_of_every_length_are_compared(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in itq.near_duplicates(df).collect()}
     assert got == {0: (2, 0, True), 1: (2, 0, False), 2: (2, 0, False), 10: (2, 10, True), 11: (2, 10, False), 12: (2, 10, False), 13: (0, 13, True), 14: (0, 14, True)}
+
+
+def test_recall_of_the_operator_on_planted_links(spark):
+    rng = np.random.default_rng(8)
+    for d, spread in ((64, 4.0), (256, 1.0)):
+        scale = np.linspace(spread, 1, d)
+        rows, n = [], 1000
+        for i in range(n):
+            v = rng.normal(size=d) * scale
+            v /= np.linalg.norm(v)
+            rows += [(2 * i, list(map(float, v))), (2 * i + 1, noisy(rng, v, 1, math.acos(0.952))[0])]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = itq.near_duplicates(df).collect()
+        x = np.array([v for _, v in rows])
+        want = int((x @ x.T >= 0.95).sum() - len(x))
+        assert want >= 2 * n and 0.95 * want <= sum(r.n_links for r in got) <= want
+        by = {r.vec_id: r.component_id for r in got}
+        assert np.mean([by[2 * i] == by[2 * i + 1] for i in range(n)]) >= 0.95
+
+
+def test_counts_and_links_agree(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(itq, "LIGHT", 20)
+    rows = [(i, v) for i, v in enumerate(noisy(rng, unit(rng, 48), 400, 0.2) + noisy(rng, unit(rng, 48), 60, 0.15))]
+    got = itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = {r[0]: r[1] for r in brute(rows)}
+    assert sum(r.n_links for r in got) >= 0.97 * sum(want.values()) and all(r.n_links <= want[r.vec_id] for r in got)
+    groups = {}
+    for r in got:
+        groups.setdefault(r.component_id, []).append(r.n_links)
+    assert all((0 in links) == (links == [0]) for links in groups.values())
+
+
+def test_groups_are_bounded_for_a_dense_bucket(spark, monkeypatch):
+    sizes = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(itq, "ROWS", 2000)
+    monkeypatch.setattr(itq, "FILED", 250)
+    whole = itq.compare
+
+    def counted(table, plan, d):
+        if table.num_rows > 4 * 2000:
+            sizes.add(1)
+        return whole(table, plan, d)
+
+    monkeypatch.setattr(itq, "compare", counted)
+    rng = np.random.default_rng(10)
+    rows = [(i, v) for i, v in enumerate(noisy(rng, unit(rng, 32), 2000, 0.05))]
+    got = itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sizes.value == 0 and {r.component_id for r in got} == {0}
+    assert sum(r.n_links for r in got) >= 0.99 * 2000 * 1999
