@@ -95,3 +95,30 @@ def test_good_documents_are_drawn_more_often(spark):
     low = [r for r in mixing.mixed(df, labels).collect() if r.s == "ab"]
     picked = [r for r in low if r.taken]
     assert sum(r.doc_id // 2 % 2 for r in picked) > 0.6 * len(picked)
+
+
+def test_a_third_of_equal_rows_and_skewed_quality(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 50)
+    docs = [(i, "w " * (1 + i * 13 % 90), f"s{i % 2}") for i in range(1200)] + [(None, "a b c", "s0")] * 500 + [(None, "a b", None)] * 100
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(1200)], "doc_id long, quality int")
+    rows = mixing.mixed(df, labels).collect()
+    taken, want = check(rows, docs)
+    assert len(rows) == len(docs) and all(abs(taken[s] - want[s]) <= 1600 for s in want)
+    grouped = mixing.drawn(df, mixing.F.lit(0), labels, mixing.Mix())
+    assert grouped.count() == 1202 and grouped.agg(mixing.F.sum("n")).first()[0] == len(docs)
+
+
+def test_no_python_in_the_plans(spark, monkeypatch):
+    plans, whole = [], mixing.save
+
+    def kept(df, path):
+        plans.append(df._jdf.queryExecution().toString())
+        return whole(df, path)
+
+    monkeypatch.setattr(mixing, "save", kept)
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    plans.append(mixing.mixed(docs, labels)._jdf.queryExecution().toString())
+    plans.append(mixing.mixture(docs, labels)._jdf.queryExecution().toString())
+    assert len(plans) > 10 and not any(w in p for p in plans for w in ("Python", "Pandas", "Arrow"))
