@@ -3,11 +3,13 @@ from collections import defaultdict
 
 import pytest
 from test_decontaminate import words
+from test_langid import plain_posterior
 from test_mixing import size, water
 from test_secrets import base
 from test_simhash import brute, plain_fingerprint
 
 import corpus_pipeline
+from tessera.llm import langid
 
 SF = "/root/testdata/sf0.01"
 
@@ -102,3 +104,14 @@ def test_stages_on_odd_rows(spark):
     mixed = corpus_pipeline.source_mixing(spark, docs, SF)
     assert mixed.columns[: len(docs.columns)] == docs.columns and mixed.count() > 0
     assert corpus_pipeline.source_mixing(spark, docs.where("false"), SF).count() == 0
+
+
+def test_language_stage_against_a_plain_version(spark, stages):
+    before, kept = stages[0].collect(), {r.doc_id for r in stages[1].collect()}
+    model = langid.fit(stages[0], langid.F.lit(True))
+    lettered = lambda t: t and re.search(r"[^\W\d_]", t)
+    dropped = [r for r in before if r.doc_id not in kept]
+    for r in [*dropped, *[r for r in before if r.text and len(r.text) < 4000][::20]]:
+        post = plain_posterior(r.text, model) if lettered(r.text) else []
+        score = max(map(sum, zip(*post))) / len(post) if post else 0.0
+        assert abs(score - 0.4) < 1e-3 or (r.doc_id in kept) == (score >= 0.4)
